@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sharding, url_filters
+from . import pii, sharding, url_filters
 from .common import table
 
 URL_RULES = [
@@ -25,9 +25,14 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.match_rules(table(spark, sf_dir, "pages"), rules)
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op3_sharding": op3_sharding,
     "op6_url_filters": op6_url_filters,
+    "op8_pii": op8_pii,
 }
 
 ORACLES = {
