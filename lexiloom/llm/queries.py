@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pii, sharding, url_filters
+from . import decontaminate, pii, sharding, url_filters
 from .common import table
 
 URL_RULES = [
@@ -16,6 +16,10 @@ URL_RULES = [
 ]
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
@@ -30,12 +34,28 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_decontamination": op2_decontamination,
     "op3_sharding": op3_sharding,
     "op6_url_filters": op6_url_filters,
     "op8_pii": op8_pii,
 }
 
 ORACLES = {
+    "op2_decontamination": r"""
+WITH t AS (
+  SELECT 0 AS kind, doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents
+  UNION ALL
+  SELECT 1, item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') FROM benchmark
+), s AS (
+  SELECT DISTINCT kind, id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) AS s
+  FROM t WHERE len(w) > 0
+), n AS (
+  SELECT id, count(*) AS n FROM s WHERE kind = 1 GROUP BY id
+)
+SELECT d.id AS doc_id, i.id AS item_id, n.n AS n_shingles, count(*) AS n_shared, count(*) / n.n AS containment
+FROM s d JOIN s i ON i.kind = 1 AND d.kind = 0 AND i.s = d.s JOIN n ON n.id = i.id
+GROUP BY d.id, i.id, n.n HAVING count(*) >= 0.8 * n.n
+""",
     "op6_url_filters": r"""
 WITH u AS (
   SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
