@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, prepare
+from .ranges import packed
 
 SAMPLE_PER_RANGE = 32
 RANGES_PER_SHARD = 24
@@ -23,12 +24,6 @@ ROUNDS = 3
 RECORD_BYTES = 8
 
 
-def _packed(*columns: np.ndarray) -> np.ndarray:
-    """Signed 64-bit columns as one byte string each row, which sorts as the tuple does."""
-    flipped = [(c.astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)).astype(">u8") for c in columns]
-    return np.ascontiguousarray(np.stack(flipped, axis=1)).view(f"S{8 * len(columns)}").ravel()
-
-
 def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, size, text_crc32, law, shard, slot, grown_shard.
 
@@ -49,12 +44,12 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
 
     def drawn(df: DataFrame, rate: float) -> np.ndarray:
         got = df.where(chance < F.col("size") * F.lit(rate)).select("h", "d", "n").toPandas()
-        return np.sort(_packed(got["h"].to_numpy(), got["d"].to_numpy(), got["n"].to_numpy()))
+        return np.sort(packed(got["h"], got["d"], got["n"]))
 
     def ranged(cuts: np.ndarray) -> DataFrame:
         @F.pandas_udf("int")
         def range_of(h: pd.Series, d: pd.Series, n: pd.Series) -> pd.Series:
-            return pd.Series(np.searchsorted(cuts, _packed(h.to_numpy(), d.to_numpy(), n.to_numpy()), side="right").astype(np.int32))
+            return pd.Series(np.searchsorted(cuts, packed(h, d, n), side="right").astype(np.int32))
 
         return base.withColumn("part", range_of("h", "d", "n"))
 
