@@ -75,7 +75,8 @@ def matches(docs: DataFrame, items: DataFrame, least: float = LEAST, id_col: str
     small = _small(wanted).select(F.col("doc").alias("cdoc"), F.col("h").alias("ch"), "items")
     # The text is read again, for candidates only.
     found = doc.join(small, doc["doc"].eqNullSafe(F.col("cdoc")) & (F.col("h") == F.col("ch"))).dropDuplicates(["doc", "h"])
-    found = found.withColumn("own", shingle_texts(words(F.col("text")))).select("doc", "own", F.explode("items").alias("i")).select("doc", "own", "i.item", "i.ih")
+    # Words get a column of their own: inside the window expression they would be cut again for every window.
+    found = found.withColumn("w", words(F.col("text"))).withColumn("own", shingle_texts(F.col("w"))).select("doc", "own", F.explode("items").alias("i")).select("doc", "own", "i.item", "i.ih")
     of = _small(item.select(F.col("item").alias("iitem"), F.col("ih").alias("iih"), "shingles"))
     shared = found.join(of, F.col("item").eqNullSafe(F.col("iitem")) & (F.col("ih") == F.col("iih"))).select(
         F.col("doc").alias(id_col), F.col("item").alias(item_col), F.size("shingles").cast("long").alias("n_shingles"), F.size(F.array_intersect("own", "shingles")).cast("long").alias("n_shared")
