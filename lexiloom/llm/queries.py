@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprints, pii, quality, sharding, url_filters
+from . import decontaminate, fingerprints, pieces, pii, quality, sharding, token_counts, url_filters
 from .common import table
 
 URL_RULES = [
@@ -37,17 +38,27 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.match_rules(table(spark, sf_dir, "pages"), rules)
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_sharding": op3_sharding,
     "op4_fingerprints": op4_fingerprints,
     "op5_quality": op5_quality,
     "op6_url_filters": op6_url_filters,
+    "op7_token_counts": op7_token_counts,
     "op8_pii": op8_pii,
+    "op10_pieces": op10_pieces,
 }
 
 ORACLES = {
