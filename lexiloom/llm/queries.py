@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprints, pieces, pii, quality, sharding, token_counts, url_filters
+from . import decontaminate, fingerprints, near_dedup, pieces, pii, quality, sharding, token_counts, url_filters
 from .common import table
 
 URL_RULES = [
@@ -17,6 +17,10 @@ URL_RULES = [
 ]
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.groups(table(spark, sf_dir, "documents"), k=2)
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -51,6 +55,7 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_near_dedup": op1_near_dedup,
     "op2_decontamination": op2_decontamination,
     "op3_sharding": op3_sharding,
     "op4_fingerprints": op4_fingerprints,
