@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprints, near_dedup, pieces, pii, quality, sharding, token_counts, url_filters
+from . import decontaminate, fingerprints, near_dedup, pieces, pii, quality, sharding, suffix_dedup, token_counts, url_filters
 from .common import table
 
 URL_RULES = [
@@ -50,6 +50,10 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -63,6 +67,7 @@ QUERIES = {
     "op6_url_filters": op6_url_filters,
     "op7_token_counts": op7_token_counts,
     "op8_pii": op8_pii,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_pieces": op10_pieces,
 }
 
