@@ -25,10 +25,15 @@ from pyspark.sql import functions as F
 from .common import prepare
 
 CHUNK = 1 << 15
-WORDS_KEPT, STATES_KEPT = 300_000, 120_000
+#: Words are kept in two generations, states in one.
+WORDS_KEPT, STATES_KEPT = 200_000, 150_000
+#: Characters that the splitter's pattern lists.
+MET = 1500
 END = "</w>"
 #: Splitter states: at rest, in letters, in other marks, after an apostrophe at a token's start, and after it and r, v or l.
 REST, LETTERS, MARKS, QUOTE, QUOTE_R, QUOTE_V, QUOTE_L = range(7)
+#: A state of the whole machine: the splitter's, the merge automaton's, and the byte that waits to be read.
+AT_REST = (REST, 0, None)
 LETTER, NUMBER, MARK, BLANK = range(4)
 #: Fixed values of the tokenizer's splitting pattern: contractions of one letter, and of two by their first.
 SHORT, LONG = "stmd", {"r": (QUOTE_R, "e"), "v": (QUOTE_V, "e"), "l": (QUOTE_L, "l")}
@@ -49,8 +54,7 @@ class MergeAutomaton:
         self.rank = {pair: i for i, pair in enumerate(merges)}
         self.tokens = tokens
         self.prefixes = {t[:i] for t in tokens for i in range(len(t.removesuffix(END)))}
-        self.longest = max(len(t.removesuffix(END)) for t in tokens)
-        self.stable = lru_cache(1 << 17)(self._stable)
+        self.stable = lru_cache(1 << 18)(self._stable)
 
     def merge(self, symbols: list[str]) -> list[str]:
         """Plain merging, lowest rank first, leftmost among equals."""
@@ -77,28 +81,33 @@ class MergeAutomaton:
 
     def _stable(self, before: str | None, token: str) -> bool:
         """Whether the two tokens, or the one at a word's start, come out of merging as they are."""
+        if (before, token) in self.rank:
+            return False
         pair = [token] if before is None else [before, token]
         return self.merge([s for t in pair for s in self.symbols(t)]) == pair
 
-    #: A state: the longest read suffix that begins some token, and for each position in it (last token, count less the present one).
+    #: A state: the longest read suffix that begins some token, and for each position in it the last token and by how much the count grew there.
     START = ("", ((None, 0),))
 
     def step(self, state: tuple, symbol: str) -> tuple[tuple, int]:
         suffix, window = state
-        read, n = suffix + symbol[0], len(window)
-        end = symbol[1:]
-        for size in range(min(len(read), self.longest), 0, -1):
-            token = read[-size:] + end
-            if token in self.tokens and self.stable(window[n - size][0], token):
+        read, end = suffix + symbol[0], symbol[1:]
+        n, tokens, stable, change = len(read), self.tokens, self.stable, 1
+        # From the longest token that may end here to the shortest; the window has an entry for each place where one may begin.
+        later = [0]
+        for _, grew in reversed(window[1:]):
+            later.append(later[-1] + grew)
+        for begin in range(n):
+            token = read[begin:] + end
+            if token in tokens and stable(window[begin][0], token):
+                change -= later[n - 1 - begin]
                 break
         else:
             raise ValueError(f"no token ends in {read!r}")
-        change = window[n - size][1] + 1
-        keep = len(read)
-        while read[len(read) - keep :] not in self.prefixes:
-            keep -= 1
-        later = (*((t, c - change) for t, c in window), (token, 0))
-        return (read[len(read) - keep :], later[-keep - 1 :]), change
+        begin = 0
+        while read[begin:] not in self.prefixes:
+            begin += 1
+        return (read[begin:], (*window[begin:], (token, change))), change
 
 
 class Machine:
@@ -116,17 +125,22 @@ class Machine:
         self.library = Tokenizer.from_str(data.decode())  # for its normaliser and its character classes, not for tokens
         self.of_byte = byte_symbols()
         self.kinds = {chr(c): LETTER if chr(c).isalpha() else NUMBER if chr(c).isdigit() else MARK for c in range(128)} | {c: BLANK for c in "\t\n\x0b\x0c\r "}
+        self.met = set(self.kinds)
+        self._split_by_met()
         self.words: dict[str, int] = {}
+        self.words_before: dict[str, int] = {}
         self._clear()
 
     def _clear(self) -> None:
+        """Forgets all states; they are made again when met."""
+        self.merge_states: list[tuple] = [MergeAutomaton.START]
+        self.merge_ids: dict[tuple, int] = {MergeAutomaton.START: 0}
+        self.merge_moves: list[dict[str, tuple[int, int]]] = [{}]
         self.states: list[tuple] = []
         self.moves: list[dict[str, tuple[int, int]]] = []
         self.ids: dict[tuple, int] = {}
-        self.merge_moves: dict[tuple, tuple[tuple, int]] = {}
         self.ends: dict[int, int] = {}
-        self.words.clear()
-        self.rest = self._id((REST, MergeAutomaton.START, None))
+        self.rest = self._id(AT_REST)
 
     def _id(self, state: tuple) -> int:
         if state not in self.ids:
@@ -143,11 +157,34 @@ class Machine:
             self.kinds[ch] = LETTER if len(with_letter) == 1 and with_letter[0] != "a" else MARK if len(with_mark) == 1 and with_mark[0] != "!" else BLANK if with_letter == ["a"] else NUMBER
         return self.kinds[ch]
 
-    def _merge_step(self, state: tuple, symbol: str) -> tuple[tuple, int]:
-        key = (state, symbol)
-        if key not in self.merge_moves:
-            self.merge_moves[key] = self.automaton.step(state, symbol)
-        return self.merge_moves[key]
+    def _split_by_met(self) -> None:
+        """The splitter's pattern, with the classes of the characters met so far."""
+        letters, numbers = ("".join(map(re.escape, sorted(c for c in self.met if self.kinds[c] == kind))) for kind in (LETTER, NUMBER))
+        self.letters = {c for c in self.met if self.kinds[c] == LETTER}
+        self.pieces = re.compile(f"'(?:[stmd]|re|ve|ll)|[{letters}]+|[{numbers}]|[^{letters}{numbers}]+").findall
+
+    def _merge_step(self, state: int, symbol: str) -> tuple[int, int]:
+        move = self.merge_moves[state].get(symbol)
+        if move is None:
+            after, n = self.automaton.step(self.merge_states[state], symbol)
+            if len(symbol) > 1:  # a word's end: nothing follows
+                at = 0
+            elif (at := self.merge_ids.get(after)) is None:
+                at = self.merge_ids[after] = len(self.merge_states)
+                self.merge_states.append(after)
+                self.merge_moves.append({})
+            move = self.merge_moves[state][symbol] = (at, n)
+        return move
+
+    def _piece(self, piece: str) -> int:
+        """The tokens of one piece of the splitter."""
+        symbols = piece if piece.isalpha() and piece.isascii() else [self.of_byte[b] for b in piece.encode()]
+        state, total, moves = 0, 0, self.merge_moves
+        for symbol in symbols[:-1]:
+            state, n = moves[state].get(symbol) or self._merge_step(state, symbol)
+            total += n
+        symbol = symbols[-1] + END
+        return total + (moves[state].get(symbol) or self._merge_step(state, symbol))[1]
 
     def _feed(self, state: tuple, chars: str) -> tuple[tuple, int]:
         """The token under construction takes more characters; its last byte waits, for it may be the word's last."""
@@ -165,40 +202,35 @@ class Machine:
         lex, merging, waiting = state
         if lex >= QUOTE:
             letter = next((c for c, (q, _) in LONG.items() if q == lex), "")
-            return self._whole("'") + (self._whole(letter) if letter else 0)
+            return self._piece("'") + (self._piece(letter) if letter else 0)
         return 0 if waiting is None else self._merge_step(merging, waiting + END)[1]
 
-    def _whole(self, piece: str) -> int:
-        state, n = self._feed((REST, MergeAutomaton.START, None), piece)
-        return n + self._close((REST, *state[1:]))
-
     def _begin(self, ch: str, kind: int) -> tuple[tuple, int]:
-        rest = (REST, MergeAutomaton.START, None)
         if kind == BLANK:
-            return rest, 0
+            return AT_REST, 0
         if kind == NUMBER:
-            return rest, self._whole(ch)
+            return AT_REST, self._piece(ch)
         if ch == "'":
-            return (QUOTE, MergeAutomaton.START, None), 0
-        return self._feed((LETTERS if kind == LETTER else MARKS, MergeAutomaton.START, None), ch)
+            return (QUOTE, 0, None), 0
+        return self._feed((LETTERS if kind == LETTER else MARKS, 0, None), ch)
 
     def _step(self, state: tuple, ch: str) -> tuple[tuple, int]:
         lex, kind = state[0], self.kind(ch)
         if lex == QUOTE:
             if ch in SHORT:
-                return (REST, MergeAutomaton.START, None), self._whole("'" + ch)
+                return AT_REST, self._piece("'" + ch)
             if ch in LONG:
-                return (LONG[ch][0], MergeAutomaton.START, None), 0
+                return (LONG[ch][0], 0, None), 0
             if kind == MARK:
-                marks, n = self._feed((MARKS, MergeAutomaton.START, None), "'" + ch)
+                marks, n = self._feed((MARKS, 0, None), "'" + ch)
                 return marks, n
         elif lex > QUOTE:
             first = next(c for c, (q, _) in LONG.items() if q == lex)
             if ch == LONG[first][1]:
-                return (REST, MergeAutomaton.START, None), self._whole("'" + first + ch)
+                return AT_REST, self._piece("'" + first + ch)
             if kind == LETTER:
-                letters, n = self._feed((LETTERS, MergeAutomaton.START, None), first + ch)
-                return letters, n + self._whole("'")
+                letters, n = self._feed((LETTERS, 0, None), first + ch)
+                return letters, n + self._piece("'")
         elif (lex, kind) in ((LETTERS, LETTER), (MARKS, MARK)):
             return self._feed(state, ch)
         closed = self._close(state)
@@ -223,16 +255,34 @@ class Machine:
         return self.ends[at]
 
     def word(self, word: str) -> int:
-        n = self.words.get(word)
+        """The tokens of a word between blanks: the net effect of running from rest to rest. Unless its characters are too many to list, the
+        splitter's pieces are told by a pattern and the merge automaton reads them one by one; it takes the same moves."""
+        n = self.words_before.get(word)
         if n is None:
+            if self.letters.issuperset(word):
+                n = self._piece(word) if word else 0
+            elif self._listed(word):
+                n = sum(map(self._piece, self.pieces(word)))
+            else:
+                at, n = self.run(self.rest, word)
+                n += self.close(at)
+        if len(word) <= 64:
             if len(self.words) >= WORDS_KEPT:
-                self.words.clear()
-            at, n = self.run(self.rest, word)
-            n += self.close(at)
-            if len(word) <= 64:
-                self.words[word] = n
+                self.words, self.words_before = {}, self.words
+            self.words[word] = n
         return n
 
+    def _listed(self, word: str) -> bool:
+        new = set(word) - self.met
+        if new and len(self.met) + len(new) > MET:
+            return False
+        if new:
+            if BLANK in map(self.kind, new):
+                return False
+            self.met |= new
+            self._split_by_met()
+        return True
+
     def chunk_map(self, chunk: str) -> tuple:
         """(characters before the first blank, whether there is one, tokens after it, state at the end)."""
         head, blank, after = chunk.partition(" ")
@@ -243,7 +293,9 @@ class Machine:
         at, n = self.run(self.rest, tail)
         known = self.words.get
         counts = [known(w) for w in words]
-        n += sum(map(self.word, words)) if None in counts else sum(counts)
+        if None in counts:
+            counts = [self.word(w) if c is None else c for w, c in zip(words, counts)]
+        n += sum(counts)
         return head, True, n, at
 
     def compose(self, a: tuple, b: tuple) -> tuple:
@@ -259,7 +311,7 @@ class Machine:
 
     def count(self, text: str, chunk: int = CHUNK) -> int:
         """Tokens of a whole text; strings of special tokens in it are one token each."""
-        if len(self.states) > STATES_KEPT:
+        if len(self.states) + len(self.merge_states) > STATES_KEPT:
             self._clear()
         segments = self.special.split(text)
         total = len(segments) - 1
