@@ -13,14 +13,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The lexical grammar, tried in this order. Loops are unrolled, so that matching needs no recursion, and
-# free of look-around, so that one pattern serves Java and RE2.
-DOUBLE = r'"[^"\\]*(?:\\[^\n][^"\\]*)*"'
-SINGLE = r"'[^'\\]*(?:\\[^\n][^'\\]*)*'"
-BACKTICK = r"`[^`\\]*(?:\\[^\n][^`\\]*)*`"
-TEMPLATE_HEAD = r"`[^`\\]*(?:\\[^\n][^`\\]*)*\$\{"
-LINE_COMMENT = r"//[^\n]*"
-BLOCK_COMMENT = r"/\*[^*]*\*+(?:[^/*][^*]*\*+)*/"
+# The lexical grammar, tried in this order. Loops are possessive: matching a long token needs neither recursion nor memory.
+DOUBLE = r'"[^"\\]*+(?:\\[^\n][^"\\]*+)*+"'
+SINGLE = r"'[^'\\]*+(?:\\[^\n][^'\\]*+)*+'"
+BACKTICK = r"`[^`\\]*+(?:\\[^\n][^`\\]*+)*+`"
+#: Up to the last ${ of a template that the line doesn't close.
+TEMPLATE_HEAD = r"`(?:(?:[^`\\$\n]++|\\[^\n]|\$(?!\{))*+\$\{)++"
+LINE_COMMENT = r"//[^\n]*+"
+BLOCK_COMMENT = r"/\*[^*]*+\*++(?:[^/*][^*]*+\*++)*+/"
 NUMBER = r"0[xX][0-9a-fA-F]+|0[bB][01]+|0[oO][0-7]+|(?:[0-9]+\.[0-9]*|\.[0-9]+|[0-9]+)(?:[eE][+-]?[0-9]+)?[fFlLiJuUzZ]*"
 OPERATOR = r"\+\+|--|::|<<=?|>>>=?|>>=?|===|!==|=>|\.\.\.|&&|\|\||[-+*/%&|^!=<>]=?|[?~,.:;\[\](){}@#]"
 IDENTIFIER = r"[a-zA-Z_][a-zA-Z0-9_]*"

@@ -74,18 +74,26 @@ PAGES = "SELECT page_id AS file_ord, html AS text, NULL::VARCHAR AS lang FROM pa
 BENCH = "SELECT item_id AS file_ord, text, NULL::VARCHAR AS lang FROM benchmark"
 
 
+def re2(pattern: str) -> str:
+    """A pattern of the lexical grammar for an engine without possessive loops and look-around; it matches the same."""
+    pattern = pattern.replace(tokens.TEMPLATE_HEAD, r"`[^`\\]*(?:\\[^\n][^`\\]*)*\$\{")
+    for loop in ("]*", ")*", r"\*+"):
+        pattern = pattern.replace(loop + "+", loop)
+    return pattern
+
+
 def token_sql(source: str, p: str = "") -> str:
     """CTEs up to ``{p}tok`` (file_ord, lang, line_no, tok_no, indent, tstr, ttype) of a source (file_ord, text, lang)."""
     return f"""
 {p}src AS ({source}),
 {p}ln AS (
   SELECT file_ord, lang, unnest(a) AS line, generate_subscripts(a, 1) AS line_no
-  FROM (SELECT file_ord, lang, string_split(regexp_replace(text, {lit(tokens.STRING_OR_COMMENT)}, '\\1', 'g'), chr(10)) AS a FROM {p}src)
+  FROM (SELECT file_ord, lang, string_split(regexp_replace(text, {lit(re2(tokens.STRING_OR_COMMENT))}, '\\1', 'g'), chr(10)) AS a FROM {p}src)
 ), {p}bd AS (
   SELECT file_ord, lang, line_no, length(line) - length(ltrim(line, ' ' || chr(9))) AS indent, ltrim(line, ' ' || chr(9)) AS line FROM {p}ln
 ), {p}raw AS (
   SELECT file_ord, lang, line_no, indent, unnest(a) AS tstr, generate_subscripts(a, 1) - 1 AS tok_no
-  FROM (SELECT *, regexp_extract_all(line, {lit(tokens.TOKEN)}, 0) AS a FROM {p}bd WHERE line <> '')
+  FROM (SELECT *, regexp_extract_all(line, {lit(re2(tokens.TOKEN))}, 0) AS a FROM {p}bd WHERE line <> '')
 ), {p}tok AS (
   SELECT *, CASE WHEN length(tstr) > 1 AND tstr[1] IN ('"', '''', '`') THEN 'STRING' WHEN regexp_matches(tstr, '^\\.?[0-9]') THEN 'NUMBER'
                  WHEN contains({lit(tokens.OPERATOR_CHARS)}, tstr[1]) THEN 'OP' ELSE 'NAME' END AS ttype
@@ -334,13 +342,13 @@ def ordered_text(spark, sf_dir):
 # ---- comments, SVG ----
 
 
-@query(f"SELECT page_id, md5(s) AS text_md5, length(s)::INT AS n_chars FROM (SELECT page_id, regexp_replace(regexp_replace(html, {lit(tokens.BLOCK_COMMENT)}, '', 'g'), {lit(tokens.LINE_COMMENT)}, '', 'g') AS s FROM pages)")
+@query(f"SELECT page_id, md5(s) AS text_md5, length(s)::INT AS n_chars FROM (SELECT page_id, regexp_replace(regexp_replace(html, {lit(re2(tokens.BLOCK_COMMENT))}, '', 'g'), {lit(re2(tokens.LINE_COMMENT))}, '', 'g') AS s FROM pages)")
 def comment_strip(spark, sf_dir):
     text = F.regexp_replace(F.regexp_replace("html", tokens.BLOCK_COMMENT, ""), tokens.LINE_COMMENT, "")
     return read(spark, sf_dir, "pages").select("page_id", text.alias("s")).select("page_id", F.md5("s").alias("text_md5"), F.length("s").alias("n_chars"))
 
 
-@query(f"SELECT page_id, md5(s) AS text_md5, length(s)::INT AS n_chars FROM (SELECT page_id, regexp_replace(html, {lit(tokens.STRING_OR_COMMENT)}, '\\1', 'g') AS s FROM pages)")
+@query(f"SELECT page_id, md5(s) AS text_md5, length(s)::INT AS n_chars FROM (SELECT page_id, regexp_replace(html, {lit(re2(tokens.STRING_OR_COMMENT))}, '\\1', 'g') AS s FROM pages)")
 def one_pass_strip(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", tokens.strip_comments(F.col("html")).alias("s")).select("page_id", F.md5("s").alias("text_md5"), F.length("s").alias("n_chars"))
 
