@@ -5,10 +5,11 @@ a random order of the slots and offers rank + uniform to the slot at each rank;
 [j, j + 1), so once all slots of a set lie below j the set needs no more ranks: all sets of a slice go through rank 0, those
 with a slot still open through rank 1, and so on. Bands of the signature are bucket keys.
 
-In a bucket, every node is compared with one centre; what links is joined. While a bucket holds nodes of several components that have
-not been centres, further rounds take up to CENTRES of them, of the least components first, against the nodes of other
-components. No pair with a shared bucket is left unless its nodes are in one component already, no round writes more than CENTRES rows for each
-node of a bucket, and no bucket is ever gathered in a task.
+In a bucket, every node is compared with one centre, its least; what links is joined. Two nodes of a bucket that are in different components
+then still have to be compared, and both have met the bucket's centre. With D the symmetric difference of a set and the centre's, the
+difference of two sets is that of their D, so the small D are enough to decide. Around a centre, the nodes outside the largest
+component are compared with all others in blocks of bounded size: each pair of blocks is one row, and its counts are one matrix product. So every
+pair with a shared bucket is decided exactly or lies in one component already, and no list of pairs is ever written.
 """
 
 from __future__ import annotations
@@ -16,14 +17,15 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix64, prepare, slices
+from .common import cut, mix64, prepare, shuffle_parts, slices
 from .components import components
 
 BANDS, ROWS = 32, 4
-CENTRES = 16
+#: Bounds of a block around a centre: bytes of differences, and nodes; and the columns of a matrix product.
+BLOCK_BYTES, BLOCK_NODES, COLUMNS = 1 << 19, 1024, 2048
 PERCENT = 80
 BROADCAST_ROWS = 200_000
 WORDS_KEPT = 300_000
@@ -91,7 +93,7 @@ def superminhash(sets: list[np.ndarray], slots: int) -> np.ndarray:
             seed, own = h[rows], of[rows]
         else:
             seed, own = h, of
-        drawn = mix64(seed + np.uint64(2 * j + 1) * GOLDEN)
+        drawn = mix64(seed + np.uint64((2 * j + 1) * int(GOLDEN) % 2**64))
         offer = j + (drawn >> np.uint64(11)).astype(np.float64) * 2.0**-53
         # The place is drawn apart from the offer: the multiply-shift of another mix.
         place = j + ((mix64(drawn ^ GOLDEN) >> np.uint64(32)) * np.uint64(slots - j) >> np.uint64(32)).astype(np.int64)
@@ -146,24 +148,78 @@ def full_sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInPandas(run, "node binary, members binary")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    @F.pandas_udf("boolean")
-    def linked(a: pd.Series, b: pd.Series) -> pd.Series:
+def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(child, parent, linked, n, diff): whether the pair is linked, the child's size and its symmetric difference with the parent."""
+
+    @F.pandas_udf("struct<linked:boolean,n:long,diff:binary>")
+    def compare(a: pd.Series, b: pd.Series) -> pd.DataFrame:
         out = []
         for x, y in zip(a, b):
             x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            short, long = (x, y) if len(x) < len(y) else (y, x)
-            at = np.searchsorted(long, short)
-            at[at == len(long)] = 0
-            both = int((long[at] == short).sum())
-            out.append(100 * both >= percent * (len(x) + len(y) - both))
-        return pd.Series(out, dtype=bool)
+            diff = np.setxor1d(x, y, assume_unique=True)
+            out.append((_linked(len(x) + len(y), len(diff), percent), len(x), diff.tobytes()))
+        return pd.DataFrame(out, columns=["linked", "n", "diff"])
 
     left = sets.select(F.col("node").alias("child"), F.col("members").alias("a"))
     right = sets.select(F.col("node").alias("parent"), F.col("members").alias("b"))
-    # Sizes alone rule a pair out before its sets are compared.
-    near = F.greatest(F.length("a"), F.length("b")) * percent <= F.least(F.length("a"), F.length("b")) * 100
-    return pairs.join(left, "child").join(right, "parent").where(near).where(linked("a", "b")).select("child", "parent")
+    return pairs.join(left, "child").join(right, "parent").select("child", "parent", compare("a", "b").alias("c")).select("child", "parent", "c.*")
+
+
+def _linked(sizes, diff, percent: int):
+    """From the sum of two sets' sizes and the size of their symmetric difference: 100 * intersection >= percent * union."""
+    return 100 * (sizes - diff) >= percent * (sizes + diff)
+
+
+def block_links(one: list, other: list, percent: int) -> list[tuple[bytes, bytes]]:
+    """Links between the members (node, component, n, diff) of two blocks around a centre, one for each two components."""
+    rows = [*one, *other]
+    split = len(one)
+    diffs = [np.frombuffer(r["diff"], np.uint64) for r in rows]
+    size, n = np.array([len(d) for d in diffs]), np.array([r["n"] for r in rows])
+    _, kind = np.unique(np.array([r["component"] for r in rows], dtype=object), return_inverse=True)
+    every, of = np.concatenate(diffs), np.repeat(np.arange(len(rows)), size)
+    _, column, times = np.unique(every, return_inverse=True, return_counts=True)
+    shared = np.zeros((split, len(rows) - split), np.float32)
+    kept = times[column] > 1  # an element of one difference only is in no intersection
+    _, column = np.unique(column[kept], return_inverse=True)
+    of = of[kept]
+    order = np.argsort(column, kind="stable")
+    column, of = column[order], of[order]
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, [start, start + COLUMNS])
+        has = np.zeros((len(rows), COLUMNS), np.float32)
+        has[of[a:b], column[a:b] - start] = 1
+        shared += has[:split] @ has[split:].T
+    apart = size[:split, None] + size[None, split:] - 2 * shared.astype(np.int64)
+    found = _linked(n[:split, None] + n[None, split:], apart, percent) & (kind[:split, None] != kind[None, split:])
+    x, y = np.nonzero(found)
+    _, first = np.unique(kind[:split][x] * len(rows) + kind[split:][y], return_index=True)
+    return [(bytes(one[x[i]]["node"]), bytes(other[y[i]]["node"])) for i in first]
+
+
+def _around_centres(compared: DataFrame, component: DataFrame, percent: int) -> DataFrame:
+    """Links (child, parent) between components, of nodes that were compared with the same centre."""
+    met = compared.select(F.col("parent").alias("centre"), F.col("child").alias("node"), "n", "diff").join(component, "node", "left")
+    met = met.withColumn("component", F.coalesce("component", "node"))
+    share = met.groupBy("centre", "component").agg(F.count("*").alias("nodes"), F.sum(F.length("diff")).alias("bytes"))
+    main = F.max_by("component", F.struct("nodes", "component"))
+    several = share.groupBy("centre").agg(main.alias("main"), F.count("*").alias("k")).where("k > 1").select("centre", "main")
+    side = (F.col("component") == F.col("main")).alias("is_main")
+    blocks = share.join(several, "centre").groupBy("centre", side).agg(F.greatest(F.ceil(F.sum("bytes") / BLOCK_BYTES), F.ceil(F.sum("nodes") / BLOCK_NODES)).alias("blocks"))
+    open_nodes = met.join(several, "centre").withColumn("is_main", F.col("component") == F.col("main")).join(blocks, ["centre", "is_main"])
+    # A block has about as many members as the bounds allow, whatever the group's size.
+    block = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    gathered = cut(open_nodes.groupBy("centre", "is_main", block.alias("block")).agg(F.collect_list(F.struct("node", "component", "n", "diff")).alias("members")))
+    one = gathered.where("not is_main").select("centre", F.col("block").alias("at"), F.col("members").alias("one"))
+    other = gathered.select("centre", "is_main", "block", F.col("members").alias("other"))
+    pairs = one.join(other, "centre").where("is_main or block >= at").select("one", "other")
+
+    def run(batches):
+        for b in batches:
+            for one, other in zip(b["one"], b["other"]):
+                yield pd.DataFrame(block_links(list(one), list(other), percent), columns=["child", "parent"])
+
+    return pairs.repartition(shuffle_parts(pairs.sparkSession)).mapInPandas(run, "child binary, parent binary")
 
 
 def groups(docs: DataFrame, k: int, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -187,32 +243,13 @@ def groups(docs: DataFrame, k: int, percent: int = PERCENT, id_col: str = "doc_i
     sets = full_sets(own.join(F.broadcast(ids) if few else ids, "rid").select("text"), k).dropDuplicates(["node"])
     sets = cut(sets.join(wanted.select("node"), "node", "left_semi"))
 
-    tested = bucketed.where("node != centre").select(F.col("node").alias("child"), F.col("centre").alias("parent")).distinct()
-    tested = cut(tested)
-    links = cut(_verified(tested, sets, percent))
+    pairs = bucketed.where("node != centre").select(F.col("node").alias("child"), F.col("centre").alias("parent")).distinct()
+    compared = cut(_compared(pairs, sets, percent))
+    links = compared.where("linked").select("child", "parent")
     component = components(links)
-    rest = bucketed.where("node != centre").select("key", "node")
-    while True:
-        # What has not been a centre, in buckets where it is of several components.
-        state = rest.join(component, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-        several = state.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
-        rest = cut(state.join(several, "key"))
-        if rest.isEmpty():
-            break
-        share = rest.groupBy("key", "component").agg(F.count("*").alias("size"))
-        nth = F.row_number().over(Window.partitionBy("key").orderBy("size", "component", "node"))
-        chosen = rest.join(share, ["key", "component"]).withColumn("nth", nth).where(F.col("nth") <= CENTRES).select("key", F.col("node").alias("centre"), F.col("component").alias("of"))
-        chosen = cut(chosen)
-        pairs = rest.join(chosen, "key").where(F.col("component") != F.col("of"))
-        pairs = pairs.select(F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b")).distinct()
-        known = tested.select(F.greatest("child", "parent").alias("a"), F.least("child", "parent").alias("b"))
-        pairs = cut(pairs.join(known, ["a", "b"], "left_anti").select(F.col("a").alias("child"), F.col("b").alias("parent")))
-        more = cut(_verified(pairs, sets, percent))
-        tested = tested.unionByName(pairs)
-        rest = rest.join(chosen.select("key", F.col("centre").alias("node")), ["key", "node"], "left_anti").select("key", "node")
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            component = components(links)
+    more = cut(_around_centres(compared, component, percent))
+    if not more.isEmpty():
+        component = components(links.unionByName(more))
 
     joined = component.join(reps.select("node", "rid"), "node")
     names = joined.groupBy("component").agg(F.min("rid").alias("name"))

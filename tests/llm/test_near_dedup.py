@@ -59,14 +59,30 @@ def test_groups_against_brute_force(spark, k, seed):
     assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == brute(docs, k)
 
 
-def test_one_centre_at_a_time(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "CENTRES", 1)
+def test_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK_NODES", 2)
+    monkeypatch.setattr(near_dedup, "COLUMNS", 3)
     monkeypatch.setattr(near_dedup, "BROADCAST_ROWS", 0)
     docs = corpus(9, 120)
     got = near_dedup.groups(spark.createDataFrame(docs, "doc_id long, text string"), 2).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == brute(docs, 2)
 
 
+def test_chains_around_a_centre(spark):
+    """Members that link with each other but not with the least one: one component by way of a chain."""
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(120)]
+    docs, w = [(0, " ".join(base))], list(base)
+    for i in range(1, 60):
+        w = list(base) if i % 20 == 0 else list(w)
+        for _ in range(3):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+        docs.append((i, " ".join(w)))
+    rng.shuffle(docs)
+    got = near_dedup.groups(spark.createDataFrame(docs, "doc_id long, text string"), 2).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == brute(docs, 2)
+
+
 def test_edges(spark):
     rows = [(5, "same words here now", 1), (3, "same words here now", 2), (3, "same words here now", 2), (None, "same words here now", 3), (None, "alone", 4), (7, None, 5), (8, None, 6), (9, "long " * 50_000, 7)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, node int")
