@@ -66,8 +66,9 @@ def match_rules(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     rule = rule.withColumn("key", host_key(F.col("host")))
     rule = rule.withColumn("part", F.explode(F.sequence(range_of("key", low), range_of(F.concat("key", F.lit("\U0010ffff")), high))))
     id_type = page.schema["id"].dataType.simpleString()
-    both = page.select(range_of("key", "salt").alias("part"), "key", F.lit(1).alias("kind"), F.col("id"), "host", "path", F.lit(None).cast("string").alias("verdict")).unionByName(
-        rule.select("part", "key", F.lit(0).alias("kind"), F.lit(None).cast(id_type).alias("id"), "host", "path", "verdict")
+    # Ids travel as text: beside the rules' nulls pandas would make numbers floats.
+    both = page.select(range_of("key", "salt").alias("part"), "key", F.lit(1).alias("kind"), F.col("id").cast("string").alias("id"), "host", "path", F.lit(None).cast("string").alias("verdict")).unionByName(
+        rule.select("part", "key", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("id"), "host", "path", "verdict")
     )
 
     def sweep(batches):
@@ -75,7 +76,7 @@ def match_rules(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
         part = None
         for b in batches:
             out = []
-            for p, key, kind, host, path, verdict in zip(b["part"], b["key"], b["kind"], b["host"], b["path"], b["verdict"]):
+            for p, key, kind, id_, host, path, verdict in zip(*(b[c].tolist() for c in ("part", "key", "kind", "id", "host", "path", "verdict"))):
                 if p != part:
                     part, stack = p, []
                 while stack and not key.startswith(stack[-1][0]):
@@ -84,13 +85,11 @@ def match_rules(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
                     if not stack or stack[-1][0] != key:
                         stack.append((key, []))
                     stack[-1][1].append((len(host) + len(path), len(host), host + path, path, verdict))
-                    out.append(None)
                 else:
-                    out.append(max((r for _, own in stack for r in own if path.startswith(r[3])), default=(0, 0, None, None, default)))
-            pages_of = b[b["kind"] == 1]
-            found = [x for x in out if x is not None]
-            yield pd.DataFrame({"id": pages_of["id"], "host": pages_of["host"], "path": pages_of["path"], "rule": [x[2] for x in found], "verdict": [x[4] for x in found]})
+                    best = max((r for _, own in stack for r in own if path.startswith(r[3])), default=(0, 0, None, None, default))
+                    out.append((id_, host, path, best[2], best[4]))
+            yield pd.DataFrame(out, columns=["id", "host", "path", "rule", "verdict"])
 
     swept = both.repartition(shuffle_parts(spark), "part").sortWithinPartitions("part", "key", "kind")
-    swept = swept.mapInPandas(sweep, f"id {id_type}, host string, path string, rule string, verdict string")
-    return swept.withColumnRenamed("id", id_col)
+    swept = swept.mapInPandas(sweep, "id string, host string, path string, rule string, verdict string")
+    return swept.select(F.col("id").cast(id_type).alias(id_col), "host", "path", "rule", "verdict")
