@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import SLICE_BYTES, mix64, prepare
 from .ranges import descending_with_next
@@ -98,6 +99,7 @@ def compare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slo
     prepare(docs.sparkSession)
     rows = descending_with_next(docs, id_col, text_col)
     id_type = rows.schema["id"].dataType.simpleString()
+    rows = rows.withColumn("id", F.col("id").cast("string"))  # beside nulls pandas would make numbers floats
 
     def sweep(batches):
         sampler = Sampler(slots)
@@ -120,5 +122,5 @@ def compare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slo
                 held = (part, id_, text, own, ghost > 0)
         yield pd.DataFrame(out, columns=columns)
 
-    done = rows.mapInPandas(sweep, f"id {id_type}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-    return done.withColumnRenamed("id", id_col)
+    done = rows.mapInPandas(sweep, "id string, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return done.select(F.col("id").cast(id_type).alias(id_col), *done.columns[1:])
