@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,7 +80,8 @@ def unpack(archived: DataFrame) -> DataFrame:
     def pictures(batches):
         for b in batches:
             done = [image.decode_image(s) for s in b["stream"]]
-            yield b.drop(columns="stream").assign(kind="image", text=None, width=[w for w, _, _ in done], height=[h for _, h, _ in done], content=[sinks.png(*x) for x in done])
+            own = {c: b[c].tolist() for c in columns}
+            yield pd.DataFrame(own | {"kind": "image", "text": None, "width": [w for w, _, _ in done], "height": [h for _, h, _ in done], "content": [sinks.png(*x) for x in done]})
 
     pics = named.where("file_type = 'g'").select(*columns, "stream").mapInPandas(pictures, sources_.schema)
     return sources_.unionByName(pics)

@@ -474,6 +474,13 @@ def color_runs(spark, sf_dir):
     return image.runs(labels(spark, sf_dir)).select("img", "ci", "y", "start_x", "length")
 
 
+@query(f"WITH {LABELS_SQL} SELECT img, ci, count(*) AS n_rows, sum(n_runs)::BIGINT AS n_runs, min(y) AS first_y, max(y) AS last_y FROM rw GROUP BY img, ci")
+def color_rows(spark, sf_dir):
+    """How many rows and runs each colour has."""
+    rows = image.row_deltas(image.runs(labels(spark, sf_dir)))
+    return rows.groupBy("img", "ci").agg(F.count("*").alias("n_rows"), F.sum("n_runs").alias("n_runs"), F.min("y").alias("first_y"), F.max("y").alias("last_y"))
+
+
 @query(f"WITH {LABELS_SQL} SELECT img, ci, y, n_runs, delta, CASE WHEN delta < 128 THEN {HEX.format('delta', 2)} ELSE {HEX.format('delta + 32768', 4)} END AS delta_hex FROM dl")
 def delta_rows(spark, sf_dir):
     return image.row_deltas(image.runs(labels(spark, sf_dir))).withColumn("delta_hex", image.hex_delta(F.col("delta")))
