@@ -12,10 +12,12 @@ the seed, the text and the occurrence's number, so that a word is segmented in s
 
 from __future__ import annotations
 
+import gc
+import hashlib
 import re
+from bisect import bisect_right
 from heapq import heapify, heappop, heappush
-from itertools import chain
-from zlib import crc32
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -23,14 +25,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, prepare
+from .common import mix64, prepare, slices
 
 BLANK = "▁"
 DROPOUT = 0.1
 SEED = 20
 VARIANTS = 4
-UNITS_KEPT = 100_000
-FULL = (1 << 64) - 1
+#: Units kept in each of two generations.
+UNITS_KEPT = 120_000
+SHORT_UNIT, LONGEST_KEPT = 40, 64
+TOGETHER = 4096
+FULL, NEVER = (1 << 64) - 1, 1 << 30
+BASE = 0x9E3779B97F4A7C15
 
 
 class Codec:
@@ -50,29 +56,72 @@ class Codec:
         for piece, i in self.id_of.items():
             self.text_of[i] = piece.replace(BLANK, " ")
         for b, i in self.bytes.items():
-            self.text_of[i] = bytes([b])
+            self.text_of[i] = chr(b) if b < 128 else bytes([b])
         longer = [p for p in self.id_of if len(p) > 1]
         if any(BLANK in p.lstrip(BLANK) for p in longer):
             raise ValueError("a piece has a blank mark after another character")
-        inner = "".join(map(re.escape, sorted(set("".join(longer)) - {BLANK})))
-        self.units = re.compile(f" *[{inner}]+| +|.", re.DOTALL)
+        inner = set("".join(longer)) - {BLANK}
+        letters = {c for c in inner if c.isalpha()}
+        if any(len({c in letters for c in p.lstrip(BLANK)}) > 1 for p in longer):  # a piece mixes letters and others: no cut between them
+            letters = inner
+        classes = ["".join(map(re.escape, sorted(c))) for c in (letters, inner - letters) if c]
+        self.units = re.compile("|".join([*(f" *[{c}]+" for c in classes), " +", "."]), re.DOTALL)
         self.dropout, self.bar, self.seed = dropout, int(dropout * 2**64), seed
-        self.kept: list[dict[str, tuple[int, ...]]] = [{} for _ in range(variants if dropout else 1)]
+        # Adjacent symbols that make a piece: both ids in one number, sorted, beside the piece's rank.
+        self.by_rank = np.array(by_score + [-1], np.int64)
+        parts = [(self.id_of[p[:i]], self.id_of[p[i:]], self.rank[p]) for p in longer for i in range(1, len(p)) if p[:i] in self.id_of and p[i:] in self.id_of]
+        pairs = np.array(sorted((a << 32 | b, r) for a, b, r in parts), np.int64)
+        self.pair_keys, self.pair_ranks = np.append(pairs[:, 0], 1 << 62), np.append(pairs[:, 1], NEVER).astype(np.int32)
+        self.of_char = np.full(0x110000, -1, np.int32)
+        for c in {c for p in longer for c in p}:
+            self.of_char[ord(c)] = self.id_of.get(c, -1)
+        #: A unit's piece ids, four bytes each, by variant; None where not yet needed; two generations.
+        self.variants = variants if dropout else 1
+        self.unknown = (None,) * self.variants
+        self.kept: dict[str, list[bytes | None]] = {}
+        self.kept_before: dict[str, list[bytes | None]] = {}
+
+    def key(self, unit: str, variant: int) -> int:
+        """A polynomial of the characters, so that it can be had for many units at once."""
+        key = variant * 0xD6E8FEB86659FD93 + self.seed * 0xA0761D6478BD642F
+        for i, c in enumerate(unit):
+            key += ord(c) * pow(BASE, i + 1, 1 << 64)
+        return key & FULL
 
     def skipped(self, key: int, left: int, rank: int) -> bool:
-        x = (key + left * 0x9E3779B97F4A7C15 + rank * 0xC2B2AE3D27D4EB4F) & FULL
-        x = ((x ^ (x >> 31)) * 0xBF58476D1CE4E5B9) & FULL
-        x = ((x ^ (x >> 29)) * 0x94D049BB133111EB) & FULL
-        return (x ^ (x >> 32)) < self.bar
+        x = (key + left * 0x9E3779B97F4A7C15 + rank * 0xC2B2AE3D27D4EB4F) * 0xBF58476D1CE4E5B9 & FULL
+        x = (x ^ (x >> 32)) * 0x94D049BB133111EB & FULL
+        return x ^ (x >> 31) < self.bar
 
     def merge(self, unit: str, variant: int) -> list[str]:
-        """The unit's symbols after the agenda is empty."""
+        """The unit's symbols after the agenda is empty. Short units keep it as a plain list: its least entry is found faster than a heap is kept."""
+        if len(unit) > SHORT_UNIT:
+            return self._merge_long(unit, variant)
+        rank, bar = self.rank.get, self.bar
+        symbols, starts = list(unit), list(range(len(unit)))
+        agenda = [rank(a + b, NEVER) for a, b in zip(unit, unit[1:])]
+        key = self.key(unit, variant)
+        while agenda and (r := min(agenda)) < NEVER:
+            i = agenda.index(r)
+            if bar and self.skipped(key, starts[i], r):
+                agenda[i] = NEVER
+                continue
+            symbols[i] += symbols.pop(i + 1)
+            del starts[i + 1], agenda[i]
+            if i < len(agenda):
+                agenda[i] = rank(symbols[i] + symbols[i + 1], NEVER)
+            if i:
+                agenda[i - 1] = rank(symbols[i - 1] + symbols[i], NEVER)
+        return symbols
+
+    def _merge_long(self, unit: str, variant: int) -> list[str]:
+        """The same with a heap and linked symbols."""
         symbols, rank = list(unit), self.rank
         n = len(symbols)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
         agenda = [(r, i, 2) for i in range(n - 1) if (r := rank.get(unit[i : i + 2])) is not None]
         heapify(agenda)
-        key = crc32(unit.encode()) * 0x100000001B3 + variant * 0xD6E8FEB86659FD93 + self.seed * 0xA0761D6478BD642F
+        key = self.key(unit, variant)
         while agenda:
             r, i, size = heappop(agenda)
             j = after[i]
@@ -93,41 +142,134 @@ class Codec:
                 heappush(agenda, (r, h, len(symbols[h]) + len(symbols[i])))
         return [s for s in symbols if s]
 
-    def unit(self, unit: str, variant: int) -> tuple[int, ...]:
-        ids = self.kept[variant].get(unit)
-        if ids is None:
-            # The blank mark itself, if a text has it, is spelt in bytes: as a piece it would come back as a space.
-            symbols = [unit] if unit == BLANK else self.merge(unit.replace(" ", BLANK), variant)
-            out: list[int] = []
-            for s in symbols:
-                i = self.id_of.get(s) if unit != BLANK else None
-                out.extend([self.bytes[b] for b in s.encode()] if i is None else [i])
-            ids = tuple(out)
-            if len(self.kept[variant]) >= UNITS_KEPT:
-                self.kept[variant].clear()
-            if len(unit) <= 64:
-                self.kept[variant][unit] = ids
-        return ids
+    def spelt(self, unit: str, variant: int) -> tuple[int, ...]:
+        """The piece ids of one unit; symbols without a piece are spelt in bytes."""
+        # So is the blank mark itself, if a text has it: as a piece it would come back as a space.
+        symbols = [unit] if unit == BLANK else self.merge(unit.replace(" ", BLANK), variant)
+        ids = [self.id_of.get(s) if unit != BLANK else None for s in symbols]
+        return tuple(chain.from_iterable([self.bytes[b] for b in s.encode()] if i is None else [i] for s, i in zip(symbols, ids)))
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left.astype(np.int64) << 32 | right
+        at = np.searchsorted(self.pair_keys, key)
+        return np.where((left >= 0) & (right >= 0) & (self.pair_keys[at] == key), self.pair_ranks[at], np.int32(NEVER))
+
+    def _together(self, units: list[str], variant: int) -> list[bytes | None]:
+        """``spelt`` for many short units in step, one agenda entry of each at a time, four bytes an id; None where a character has no piece."""
+        n, sizes = len(units), np.array([len(u) for u in units])
+        width = int(sizes.max()) + 1
+        chars = np.frombuffer("".join(units).replace(" ", BLANK).encode("utf-32-le"), np.uint32)
+        symbol = np.full((n, width), -1, np.int64)
+        inside = np.arange(width) < sizes[:, None]
+        symbol[inside] = self.of_char[chars]
+        covered = (symbol >= 0).sum(1) == sizes
+        agenda = np.full((n, width), NEVER, np.int32)
+        agenda[:, :-1] = self._ranks(symbol[:, :-1].ravel(), symbol[:, 1:].ravel()).reshape(n, -1)
+        agenda[~covered] = NEVER
+        points = np.zeros((n, width), np.uint64)
+        points[inside] = chars
+        powers = np.cumprod(np.full(width, BASE, np.uint64))
+        keys = (points * powers).sum(1, dtype=np.uint64) + np.uint64((variant * 0xD6E8FEB86659FD93 + self.seed * 0xA0761D6478BD642F) & FULL)
+        after, before = (np.tile(np.arange(width, dtype=np.int64) + d, (n, 1)) for d in (1, -1))
+        s, nxt, prv, todo = symbol.ravel(), after.ravel(), before.ravel(), agenda.ravel()
+        rows = np.arange(n)
+        while len(rows):
+            best = agenda[rows].argmin(1)
+            at = rows * width + best
+            rank = todo[at]
+            busy = rank < NEVER
+            rows, best, at, rank = rows[busy], best[busy], at[busy], rank[busy]
+            if self.bar:
+                x = (keys[rows] + best.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + rank.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0xBF58476D1CE4E5B9)
+                x = (x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+                skip = (x ^ (x >> np.uint64(31))) < np.uint64(self.bar)
+                todo[at[skip]] = NEVER
+                go = ~skip
+                best, at, rank, base = best[go], at[go], rank[go], (rows * width)[go]
+            else:
+                base = rows * width
+            gone = base + nxt[at]
+            s[at] = self.by_rank[rank]
+            s[gone] = -1
+            todo[gone] = NEVER
+            follower = nxt[gone]
+            nxt[at] = follower
+            there = follower < width
+            prv[(base + follower)[there]] = best[there]
+            right = np.where(there, s[np.where(there, base + follower, 0)], -1)
+            todo[at] = self._ranks(s[at], right)
+            has = prv[at] >= 0
+            left = (base + prv[at])[has]
+            todo[left] = self._ranks(s[left], s[at[has]])
+        ids, ends = s[s >= 0].astype("<i4").tobytes(), (4 * np.cumsum((symbol >= 0).sum(1))).tolist()
+        out: list[bytes | None] = [ids[a:b] for a, b in zip([0, *ends], ends)]
+        for i in np.flatnonzero(~covered).tolist():
+            out[i] = None
+        return out
+
+    def spell(self, units: list[str], variant: int) -> list[bytes]:
+        """The piece ids of units, four bytes each; ``units`` is sorted by length, and those of like length go together."""
+        units.sort(key=len)
+        first, last = bisect_right(units, 1, key=len), bisect_right(units, SHORT_UNIT, key=len)
+        out: list[bytes | None] = [None] * first
+        for i in range(first, last, TOGETHER):
+            out += self._together(units[i : min(i + TOGETHER, last)], variant)
+        out += [None] * (len(units) - last)
+        if None in out:
+            out = [np.array(self.spelt(u, variant), "<i4").tobytes() if x is None else x for u, x in zip(units, out)]
+        return out
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """Piece ids of whole texts; none for an empty one. What it makes has no cycles, so the collector needn't look through the kept units."""
+        collecting = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode_all(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        cut, kept, before = self.units.findall, self.kept, self.kept_before
+        every, missing = [], [set() for _ in self.unknown]
+        for text in texts:
+            units = cut(" " + text) if text else []
+            if self.bar:
+                key = np.uint64(xxhash.xxh3_64_intdigest(text, seed=self.seed))
+                variants = (mix64(key + np.arange(len(units), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(self.variants)).tolist()
+            else:
+                variants = [0] * len(units)
+            found = [ids[v] for ids, v in zip(map(kept.get, units, repeat(self.unknown)), variants)]
+            open_at = [i for i, ids in enumerate(found) if ids is None] if None in found else []
+            for i in open_at:
+                u, v = units[i], variants[i]
+                own = kept.get(u)
+                if own is None:
+                    own = kept[u] = before.get(u) or [None] * self.variants
+                if own[v] is None:
+                    missing[v].add(u)
+            every.append((found, open_at, units, variants))
+        for v, some in enumerate(missing):
+            some = list(some)
+            for u, ids in zip(some, self.spell(some, v)):
+                kept[u][v] = ids
+        out = []
+        for found, open_at, units, variants in every:
+            for i in open_at:
+                found[i] = kept[units[i]][variants[i]]
+            out.append(np.frombuffer(b"".join(found), "<i4"))
+        for u in [u for some in missing for u in some if len(u) > LONGEST_KEPT]:
+            kept.pop(u, None)
+        if len(kept) > UNITS_KEPT:
+            self.kept_before, self.kept = kept, {}
+        return out
 
     def encode(self, text: str) -> np.ndarray:
-        """Piece ids of a whole text; none for an empty one."""
-        if not text:
-            return np.zeros(0, np.int32)
-        units = self.units.findall(" " + text)
-        if self.dropout:
-            key = np.uint64(xxhash.xxh3_64_intdigest(text, seed=self.seed))
-            variants = (mix64(key + np.arange(len(units), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(len(self.kept))).tolist()
-            kept = self.kept
-            found = [kept[v].get(u) for u, v in zip(units, variants)]
-            if None in found:
-                found = [self.unit(u, v) if ids is None else ids for u, v, ids in zip(units, variants, found)]
-        else:
-            found = [self.unit(u, 0) for u in units]
-        return np.fromiter(chain.from_iterable(found), np.int32)
+        return self.encode_all([text])[0]
 
     def decode(self, ids) -> str:
         """The text of piece ids; the first blank is the one that encoding adds."""
-        parts = [self.text_of[i] for i in ids]
+        parts = list(map(self.text_of.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids))
         try:
             text = "".join(parts)
         except TypeError:  # bytes among them
@@ -160,7 +302,9 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", into: str =
     @F.pandas_udf("array<int>")
     def pieces(text: pd.Series) -> pd.Series:
         own = codec(data.value, dropout, seed)
-        return pd.Series([None if x is None else own.encode(x) for x in text], dtype=object)
+        texts = text.tolist()
+        ids = [x for a, b in slices(texts) for x in own.encode_all([t or "" for t in texts[a:b]])]
+        return pd.Series([None if t is None else x for t, x in zip(texts, ids)], dtype=object)
 
     return docs.withColumn(into, pieces(F.col(text_col).cast("string")))
 
@@ -178,13 +322,27 @@ def decode(pieces: DataFrame, model_path: str, pieces_col: str = "pieces", into:
 
 
 def digest(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document row: id, n_chars, n_pieces, pieces_sha256 (of the ids, comma-joined), decoded_sha256, lossless.
+    """One row per document row: id, n_chars, n_pieces, pieces_sha256 (of the ids as four bytes each, the lowest first), decoded_sha256, lossless.
 
     Null texts count as empty. An empty table gives no rows; other columns are not read.
     """
+    data = _model(docs, model_path)
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    both = decode(encode(own, model_path), model_path)
-    return both.select(
-        F.col("id").alias(id_col), F.length("text").cast("long").alias("n_chars"), F.size("pieces").cast("long").alias("n_pieces"),
-        F.sha2(F.array_join(F.col("pieces").cast("array<string>"), ","), 256).alias("pieces_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.col("text")).alias("lossless"),
-    )
+    id_type = own.schema["id"].dataType.simpleString()
+    own = own.withColumn("id", F.col("id").cast("string"))  # beside nulls pandas would make numbers floats
+
+    def run(batches):
+        both = codec(data.value)
+        for b in batches:
+            doc_ids, texts = b["id"].tolist(), b["text"].tolist()
+            for start, end in slices(texts):
+                rows = []
+                for text, ids in zip(texts[start:end], both.encode_all(texts[start:end])):
+                    decoded = both.decode(ids)
+                    rows.append((len(text), len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), decoded == text))
+                out = pd.DataFrame(rows, columns=["n_chars", "n_pieces", "pieces_sha256", "decoded_sha256", "lossless"])
+                out.insert(0, "id", pd.Series(doc_ids[start:end], dtype=object))
+                yield out
+
+    done = own.mapInPandas(run, "id string, n_chars long, n_pieces long, pieces_sha256 string, decoded_sha256 string, lossless boolean")
+    return done.select(F.col("id").cast(id_type).alias(id_col), *done.columns[1:])

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 from sentencepiece import SentencePieceProcessor
@@ -24,7 +25,7 @@ def texts(n, parts=PARTS, seed=3):
 
 def naive(codec, unit, variant):
     """The agenda as a plain list, searched for its best entry each time."""
-    key = pieces.crc32(unit.encode()) * 0x100000001B3 + variant * 0xD6E8FEB86659FD93 + codec.seed * 0xA0761D6478BD642F
+    key = codec.key(unit, variant)
     spans = [(i, i + 1) for i in range(len(unit))]
     agenda = {(codec.rank[unit[i : i + 2]], i, i + 1, i + 2) for i in range(len(unit) - 1) if unit[i : i + 2] in codec.rank}
     while agenda:
@@ -53,8 +54,9 @@ def test_dropout_is_lossless_varied_and_seeded():
     for t in some:
         ids = a.encode(t)
         assert a.decode(ids) == t and ids.tolist() == again.encode(t).tolist() and b.decode(b.encode(t)) == t
+    assert [x.tolist() for x in a.encode_all(some)] == [again.encode(t).tolist() for t in some]
     long = " thinking of the station" * 200
-    assert len({tuple(a.unit(" station", v)) for v in range(4)}) > 1 or len({tuple(a.unit(" thinking", v)) for v in range(4)}) > 1
+    assert len({tuple(a.spelt(" station", v)) for v in range(4)}) > 1 or len({tuple(a.spelt(" thinking", v)) for v in range(4)}) > 1
     assert a.encode(long).tolist() != b.encode(long).tolist() and len(a.encode(long)) > len(pieces.Codec(DATA, dropout=0.0).encode(long))
     skipped = sum(a.skipped(1234567, i, i * 7 % 3000) for i in range(40_000)) / 40_000
     assert abs(skipped - pieces.DROPOUT) < 0.01
@@ -66,11 +68,12 @@ def test_agenda_against_a_plain_list():
     for _ in range(400):
         unit = pieces.BLANK + "".join(rng.choice("etaoinshr") for _ in range(rng.randint(0, 14)))
         v = rng.randrange(4)
-        assert codec.merge(unit, v) == naive(codec, unit, v)
+        assert np.frombuffer(codec.spell([unit], v)[0], '<i4').tolist() == list(codec.spelt(unit, v))
+        assert codec.merge(unit, v) == codec._merge_long(unit, v) == naive(codec, unit, v)
 
 
 def test_rows(spark):
-    rows = [(i, t, 0) for i, t in enumerate(texts(50))] + [(100, None, 0), (101, "", 0), (102, "x" * 50_000, 0), (103, "twice", 0), (103, "twice", 0), (None, "n", 0)]
+    rows = [(i, t, 0) for i, t in enumerate(texts(50))] + [(100, None, 0), (101, "", 0), (102, "x" * 50_000, 0), (103, "twice", 0), (103, "twice", 0), (2**62 + 1, "big", 0), (None, "n", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_pieces int")
     got = pieces.digest(docs, PATH).collect()
     by_id = {i: t or "" for i, t, _ in rows}
