@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Where checkpoints go when the session names no folder (tests on one machine).
 LOCAL_CHECKPOINTS = "/tmp/checkpoints/lexiloom"
@@ -13,7 +14,8 @@ BATCH_ROWS = 256
 #: Bytes of text that an operator works on at once.
 SLICE_BYTES = 1 << 20
 
-MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Bytes up to which a side of a join is broadcast, after they were summed; beyond it the same join is shuffled.
+BROADCAST_BYTES = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +37,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small(df: DataFrame, size: Column | int) -> DataFrame:
+    """``df`` marked for broadcast if its rows, of ``size`` bytes each, are within BROADCAST_BYTES together."""
+    total = df.agg(F.sum(F.lit(size) if isinstance(size, int) else size)).first()[0] or 0
+    return F.broadcast(df) if total <= BROADCAST_BYTES else df
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

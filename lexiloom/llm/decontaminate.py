@@ -15,12 +15,10 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small
 
 WORDS = 5
 LEAST = 0.8
-#: Rows up to which a side is broadcast, after counting; beyond it the same join is shuffled.
-BROADCAST_ROWS = 200_000
 #: Size partitions are [2^p, 2^(p+1)).
 PARTITIONS = 31
 
@@ -53,10 +51,6 @@ def sketch_size(n: Column, least: float = LEAST) -> Column:
     return F.least(bound, n)
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def matches(docs: DataFrame, items: DataFrame, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """One row for each (document, item) with at least ``least`` of the item's distinct five-word shingles in the document.
 
@@ -70,14 +64,15 @@ def matches(docs: DataFrame, items: DataFrame, least: float = LEAST, id_col: str
     item = cut(item.select("item", "shingles", F.slice(F.array_sort("hashes"), F.lit(1), sketch_size(F.size("hashes"), least)).alias("sketch"), F.xxhash64("shingles").alias("ih")))
     sketch = item.select("item", "ih", F.explode("sketch").alias("hash"))
     hashed = doc.withColumn("w", words(F.col("text"))).select("doc", "h", F.explode(shingle_hashes(F.col("w"))).alias("hash"))
-    pairs = hashed.join(_small(sketch), "hash").select("doc", "h", "item", "ih").distinct()
-    wanted = cut(pairs.groupBy("doc", "h").agg(F.collect_set(F.struct("item", "ih")).alias("items")))
-    small = _small(wanted).select(F.col("doc").alias("cdoc"), F.col("h").alias("ch"), "items")
-    # The text is read again, for candidates only.
-    found = doc.join(small, doc["doc"].eqNullSafe(F.col("cdoc")) & (F.col("h") == F.col("ch"))).dropDuplicates(["doc", "h"])
+    pairs = cut(hashed.join(small(sketch, 24), "hash").select("doc", "h", "item", "ih").distinct())
+    # The text is read again, for candidates only; their ids alone are broadcast, if they are few.
+    wanted = pairs.select(F.col("doc").alias("cdoc"), F.col("h").alias("ch")).distinct()
+    found = doc.join(small(wanted, 16), doc["doc"].eqNullSafe(F.col("cdoc")) & (F.col("h") == F.col("ch"))).dropDuplicates(["doc", "h"])
     # Words get a column of their own: inside the window expression they would be cut again for every window.
-    found = found.withColumn("w", words(F.col("text"))).withColumn("own", shingle_texts(F.col("w"))).select("doc", "own", F.explode("items").alias("i")).select("doc", "own", "i.item", "i.ih")
-    of = _small(item.select(F.col("item").alias("iitem"), F.col("ih").alias("iih"), "shingles"))
+    found = found.withColumn("w", words(F.col("text"))).select("doc", "h", shingle_texts(F.col("w")).alias("own"))
+    of_pair = pairs.select(F.col("doc").alias("cdoc"), F.col("h").alias("ch"), "item", "ih")
+    found = found.join(of_pair, found["doc"].eqNullSafe(F.col("cdoc")) & (F.col("h") == F.col("ch"))).select("doc", "own", "item", "ih")
+    of = small(item.select(F.col("item").alias("iitem"), F.col("ih").alias("iih"), "shingles"), F.octet_length(F.array_join("shingles", "|")) + 8 * F.size("shingles"))
     shared = found.join(of, F.col("item").eqNullSafe(F.col("iitem")) & (F.col("ih") == F.col("iih"))).select(
         F.col("doc").alias(id_col), F.col("item").alias(item_col), F.size("shingles").cast("long").alias("n_shingles"), F.size(F.array_intersect("own", "shingles")).cast("long").alias("n_shared")
     )
@@ -87,4 +82,4 @@ def matches(docs: DataFrame, items: DataFrame, least: float = LEAST, id_col: str
 def clean(docs: DataFrame, items: DataFrame, least: float = LEAST) -> DataFrame:
     """``docs`` without the documents that hold a test item; all columns and all other rows stay."""
     hit = cut(matches(docs, items, least).select(F.col("doc_id").alias("_hit")).distinct())
-    return docs.join(_small(hit), docs["doc_id"].eqNullSafe(F.col("_hit")), "left_anti")
+    return docs.join(small(hit, 8), docs["doc_id"].eqNullSafe(F.col("_hit")), "left_anti")

@@ -20,14 +20,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix64, prepare, shuffle_parts, slices
+from .common import cut, mix64, prepare, shuffle_parts, slices, small
 from .components import components
 
 BANDS, ROWS = 32, 4
 #: Bounds of a block around a centre: bytes of differences, and nodes; and the columns of a matrix product.
 BLOCK_BYTES, BLOCK_NODES, COLUMNS = 1 << 19, 1024, 2048
 PERCENT = 80
-BROADCAST_ROWS = 200_000
 WORDS_KEPT = 300_000
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 LAST = 2**63 - 1  # stands for a null id, after all others
@@ -238,9 +237,7 @@ def groups(docs: DataFrame, k: int, percent: int = PERCENT, id_col: str = "doc_i
     centres = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("centre")).where("size > 1")
     bucketed = cut(keyed.join(centres.select("key", "centre"), "key"))
     wanted = cut(bucketed.select("node").distinct().join(reps.select("node", "rid"), "node"))
-    few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    ids = wanted.select("rid").distinct()
-    sets = full_sets(own.join(F.broadcast(ids) if few else ids, "rid").select("text"), k).dropDuplicates(["node"])
+    sets = full_sets(own.join(small(wanted.select("rid").distinct(), 16), "rid").select("text"), k).dropDuplicates(["node"])
     sets = cut(sets.join(wanted.select("node"), "node", "left_semi"))
 
     pairs = bucketed.where("node != centre").select(F.col("node").alias("child"), F.col("centre").alias("parent")).distinct()
@@ -265,9 +262,8 @@ def groups(docs: DataFrame, k: int, percent: int = PERCENT, id_col: str = "doc_i
 def keep_one(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one document of each group, the one with the least id; of rows that repeat an id, one. All columns stay."""
     found = cut(groups(docs, k, percent).groupBy("doc_id").agg(F.count("*").alias("copies"), F.max("kept").alias("kept")).where("copies > 1 or not kept"))
-    few = found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     mark = found.select(F.col("doc_id").alias("_id"), F.col("kept").alias("_kept"))
-    marked = docs.join(F.broadcast(mark) if few else mark, docs["doc_id"].eqNullSafe(F.col("_id")), "left")
+    marked = docs.join(small(mark, 16), docs["doc_id"].eqNullSafe(F.col("_id")), "left")
     once = marked.where("_kept is null").select(*docs.columns)
     again = marked.where("_kept").dropDuplicates(["doc_id"]).select(*docs.columns)
     return once.unionByName(again)

@@ -1,7 +1,7 @@
 import random
 import re
 
-from lexiloom.llm import decontaminate
+from lexiloom.llm import common, decontaminate
 
 
 def grams(text):
@@ -43,7 +43,7 @@ def test_against_brute_force(spark):
 
 
 def test_without_broadcast_and_empty(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
     item = "one two three four five six seven"
     assert run(spark, [(1, f"x {item} y"), (2, "clean text of no item at all")], [(7, item)]) == [(1, 7, 3, 3)]
     assert run(spark, [], [(7, item)]) == [] and run(spark, [(1, item)], []) == []

@@ -5,7 +5,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from lexiloom.llm import components, near_dedup
+from lexiloom.llm import common, components, near_dedup
 
 
 def shingles(text, k):
@@ -62,7 +62,7 @@ def test_groups_against_brute_force(spark, k, seed):
 def test_small_blocks(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK_NODES", 2)
     monkeypatch.setattr(near_dedup, "COLUMNS", 3)
-    monkeypatch.setattr(near_dedup, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
     docs = corpus(9, 120)
     got = near_dedup.groups(spark.createDataFrame(docs, "doc_id long, text string"), 2).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == brute(docs, 2)
