@@ -19,10 +19,10 @@ import hashlib
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, mix64, prepare, shuffle_parts
+from .common import cut, mix64, prepare, shuffle_parts, small
 from .suffixes import permuted_prefixes, suffix_array
 
 SPAN = 100
@@ -30,7 +30,6 @@ GRAM = 32
 BLOCK = (1 << 20) - 256
 SHARD_BYTES = 1 << 20
 SHARD_SEGMENTS = 4000
-BROADCAST_ROWS = 200_000
 LAST = 2**63 - 1  # stands for a null id, after all others
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 POSITION = np.uint64((1 << 20) - 1)
@@ -64,32 +63,40 @@ def anchors(raw: bytes, span: int = SPAN) -> tuple[np.ndarray, np.ndarray, np.nd
 
 
 def _anchored(docs: DataFrame) -> DataFrame:
-    """(h, s, d, t, at) for (d, t, text): anchor hash, segment digest, place (first window and, in the low 8 bits, how many follow)."""
+    """(h, s, d, t, at, more) for (d, t, text): anchor hash, segment digest, place (first window and, in the low 8 bits, how many follow).
+
+    Of equal segments of one document there is one row, for the first; ``more`` has the places of the others.
+    """
 
     def run(batches):
         for b in batches:
-            hs, ss, ds, ts, ats, size = [], [], [], [], [], 0
+            found, size = [], 0
             for d, t, text in zip(b["d"], b["t"], b["text"]):
                 raw = text.encode()
                 h, first, last = anchors(raw)
                 digest = xxhash.xxh3_64_intdigest
-                ss.append(np.fromiter((digest(raw[i:j]) for i, j in zip(first.tolist(), (last + SPAN).tolist())), np.uint64, len(first)))
-                hs.append(h)
-                ats.append(first << 8 | (last - first))
-                ds.append(np.full(len(h), d))
-                ts.append(np.full(len(h), t))
+                s = np.fromiter((digest(raw[i:j]) for i, j in zip(first.tolist(), (last + SPAN).tolist())), np.uint64, len(first))
+                at, more = first << 8 | (last - first), [None] * len(h)
+                kinds, where, of = np.unique(s, return_index=True, return_inverse=True)
+                if len(kinds) < len(s):
+                    others: dict[int, list[int]] = {}
+                    for i in np.flatnonzero(np.arange(len(s)) != where[of]).tolist():
+                        others.setdefault(int(where[of[i]]), []).append(int(at[i]))
+                    where.sort()
+                    h, s, at, more = h[where], s[where], at[where], [others.get(i) for i in where.tolist()]
+                found.append((h, s, np.full(len(h), d), np.full(len(h), t), at, more))
                 size += len(raw)
                 if size > 1 << 21:
-                    yield frame(hs, ss, ds, ts, ats)
-                    hs, ss, ds, ts, ats, size = [], [], [], [], [], 0
-            if hs:
-                yield frame(hs, ss, ds, ts, ats)
+                    yield frame(found)
+                    found, size = [], 0
+            if found:
+                yield frame(found)
 
-    def frame(hs, ss, ds, ts, ats):
-        cat = np.concatenate
-        return pd.DataFrame({"h": cat(hs).view(np.int64), "s": cat(ss).view(np.int64), "d": cat(ds), "t": cat(ts), "at": cat(ats)})
+    def frame(found):
+        h, s, d, t, at = (np.concatenate([f[i] for f in found]) for i in range(5))
+        return pd.DataFrame({"h": h.view(np.int64), "s": s.view(np.int64), "d": d, "t": t, "at": at, "more": [m for f in found for m in f[5]]})
 
-    return docs.mapInPandas(run, "h long, s long, d long, t long, at long")
+    return docs.mapInPandas(run, "h long, s long, d long, t long, at long, more array<long>")
 
 
 def shard_repeats(segments: list[tuple[int, int, int, bytes]], span: int = SPAN) -> list[tuple[int, int, int, int]]:
@@ -135,36 +142,48 @@ def shard_repeats(segments: list[tuple[int, int, int, bytes]], span: int = SPAN)
     return list(zip(d[head].tolist(), t[head].tolist(), start[head].tolist(), (start[tail] + span).tolist()))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+def _with(docs: DataFrame, more: DataFrame) -> DataFrame:
+    """The documents that ``more`` has rows for, with them. Their ids alone are broadcast, if they are few, to leave the other texts where they are."""
+    return docs.join(small(more.select("d", "t"), 16), ["d", "t"], "left_semi").join(more, ["d", "t"])
 
 
 def repeated(docs: DataFrame) -> DataFrame:
     """(d, t, start, end): stretches of repeats in (d, t, text), whose rows are distinct. Stretches may overlap."""
     spark = docs.sparkSession
-    every = _anchored(docs.where(F.octet_length("text") >= SPAN)).repartition(shuffle_parts(spark), "h")
-    of_hash = every.groupBy("h").agg(F.count("*").alias("n"), F.min("s").alias("low"), F.max("s").alias("high")).where("n > 1")
-    twice = cut(every.join(of_hash.select("h", (F.col("low") != F.col("high")).alias("mixed")), "h"))
+    every = _anchored(docs.where(F.octet_length("text") >= SPAN))
+    # One exchange serves counting and keeping; a document has a hash and segment once, so no text can crowd it.
+    same = Window.partitionBy("h")
+    counted = every.withColumn("n", F.count("*").over(same)).withColumn("mixed", F.min("s").over(same) != F.max("s").over(same))
+    twice = cut(counted.where("n > 1 or more is not null").drop("n"))
     first = twice.groupBy("h", "s", "mixed").agg(F.min(F.struct("d", "t", "at")).alias("first"))
-    later = twice.join(first.select("h", "s", "first"), ["h", "s"]).where(F.struct("d", "t", "at") > F.col("first"))
+    later = twice.join(first.select("h", "s", "first"), ["h", "s"]).withColumn("is_later", F.struct("d", "t", "at") > F.col("first"))
+    again = F.coalesce("more", F.array().cast("array<long>"))
+    gone = later.where("is_later or more is not null").select("d", "t", F.explode(F.when(F.col("is_later"), F.array_append(again, F.col("at"))).otherwise(again)).alias("at"))
     start = F.shiftright("at", 8)
     end = start + F.col("at").bitwiseAND(F.lit(255)) + SPAN
-    whole = later.select("d", "t", start.alias("start"), end.alias("end"))
+    whole = gone.select("d", "t", start.alias("start"), end.alias("end"))
 
     # The earliest of each segment, where a hash has several.
     some = cut(first.where("mixed").select("h", "first.*"))
     crowded = some.groupBy("h").agg(F.count("*").alias("n")).select("h", (F.col("n") > SHARD_SEGMENTS).alias("crowd"))
-    places = some.join(crowded, "h").groupBy("d", "t").agg(F.collect_list(F.struct("h", "at", "crowd")).alias("places"))  # as many as a text has
-    places = cut(places)
-    texts = docs.join(_small(places), ["d", "t"])
+    places = some.join(crowded, "h").groupBy("d", "t").agg(F.collect_list(F.struct("h", "at", "crowd")).alias("p"))  # as many as a text has
+    places = cut(places.select("d", "t", "p.h", "p.at", "p.crowd"))
+    texts = _with(docs, places)
 
     def segments(batches):
+        columns = ["h", "crowd", "d", "t", "start", "raw"]
         for b in batches:
-            for d, t, text, places in zip(b["d"], b["t"], b["text"], b["places"]):
-                raw = text.encode()
-                rows = [(p["h"], p["crowd"], d, t, p["at"] >> 8, raw[p["at"] >> 8 : (p["at"] >> 8) + (p["at"] & 255) + SPAN]) for p in places]
-                for i in range(0, len(rows), 20_000):
-                    yield pd.DataFrame(rows[i : i + 20_000], columns=["h", "crowd", "d", "t", "start", "raw"])
+            out, size = [[] for _ in columns], 0
+            for d, t, text, h, at, crowd in zip(b["d"], b["t"], b["text"], b["h"], b["at"], b["crowd"]):
+                raw, starts = text.encode(), at >> 8
+                own = [raw[i:j] for i, j in zip(starts.tolist(), (starts + (at & 255) + SPAN).tolist())]
+                for kept, new in zip(out, (h.tolist(), crowd.tolist(), [d] * len(h), [t] * len(h), starts.tolist(), own)):
+                    kept.extend(new)
+                size += len(own)
+                if size > 20_000:
+                    yield pd.DataFrame(dict(zip(columns, out)))
+                    out, size = [[] for _ in columns], 0
+            yield pd.DataFrame(dict(zip(columns, out)))
 
     pieces = cut(texts.mapInPandas(segments, "h long, crowd boolean, d long, t long, start long, raw binary"))
 
@@ -195,14 +214,12 @@ def repeated(docs: DataFrame) -> DataFrame:
     return whole.unionByName(calm).unionByName(crowd)
 
 
-def _merged(starts, ends) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(zip(starts, ends)):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], b))
-        else:
-            out.append((a, b))
-    return out
+def _merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stretches as disjoint ones that don't touch."""
+    order = np.argsort(starts, kind="stable")
+    starts, reach = starts[order], np.maximum.accumulate(ends[order])
+    new = np.append(True, starts[1:] > reach[:-1])
+    return starts[new], reach[np.append(np.flatnonzero(new)[1:] - 1, len(reach) - 1)]
 
 
 def _removed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -216,16 +233,16 @@ def _removed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # A row that repeats id and text is the same document; one row of it is enough.
     again = copies.where("d = first").groupBy("d", "t").agg(F.count("*").alias("n")).where("n > 1").select("d", "t")
     again = cut(again)
-    rest = own.select("d", "t", "text").join(_small(later), ["d", "t"], "left_anti")
-    single = rest.join(_small(again), ["d", "t"], "left_anti").unionByName(rest.join(_small(again), ["d", "t"], "left_semi").dropDuplicates(["d", "t"]))
+    rest = own.select("d", "t", "text").join(small(later, 16), ["d", "t"], "left_anti")
+    single = rest.join(small(again, 16), ["d", "t"], "left_anti").unionByName(rest.join(small(again, 16), ["d", "t"], "left_semi").dropDuplicates(["d", "t"]))
     spans = repeated(single).groupBy("d", "t").agg(F.collect_list(F.struct("start", "end")).alias("spans"))  # as many as a text has
 
     @F.pandas_udf("struct<starts:array<long>,ends:array<long>>")
-    def merged(spans: pd.Series) -> pd.DataFrame:
-        joined = [_merged([s["start"] for s in x], [s["end"] for s in x]) for x in spans]
-        return pd.DataFrame({"starts": [[a for a, _ in x] for x in joined], "ends": [[b for _, b in x] for x in joined]})
+    def merged(starts: pd.Series, ends: pd.Series) -> pd.DataFrame:
+        joined = [_merged(a, b) for a, b in zip(starts, ends)]
+        return pd.DataFrame({"starts": [a for a, _ in joined], "ends": [b for _, b in joined]})
 
-    parts = spans.select("d", "t", merged("spans").alias("m")).select("d", "t", F.lit(False).alias("copy"), "m.starts", "m.ends")
+    parts = spans.select("d", "t", merged("spans.start", "spans.end").alias("m")).select("d", "t", F.lit(False).alias("copy"), "m.starts", "m.ends")
     none = F.array().cast("array<long>")
     gone = later.select("d", "t", F.lit(True).alias("copy"), none.alias("starts"), none.alias("ends"))
     return own.drop("u"), cut(parts.unionByName(gone))
@@ -253,7 +270,6 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """
     prepare(docs.sparkSession)
     own, removed = _removed(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
-    both = own.join(_small(removed), ["d", "t"], "left")
 
     @F.pandas_udf("struct<n_removed:long,n_spans:long,kept_sha256:string>")
     def without(text: pd.Series, copy: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.DataFrame:
@@ -264,6 +280,6 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         return pd.DataFrame(out, columns=["n_removed", "n_spans", "kept_sha256"])
 
     size = F.octet_length("text").cast("long").alias("n_bytes")
-    whole = both.where("copy is null").select("id", size, F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"))
-    cleaned = both.where("copy is not null").select("id", size, without("text", "copy", "starts", "ends").alias("w")).select("id", "n_bytes", "w.*")
+    whole = own.join(small(removed.select("d", "t"), 16), ["d", "t"], "left_anti").select("id", size, F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"))
+    cleaned = _with(own, removed).select("id", size, without("text", "copy", "starts", "ends").alias("w")).select("id", "n_bytes", "w.*")
     return whole.unionByName(cleaned).withColumnRenamed("id", id_col)

@@ -25,8 +25,10 @@ def _types(text: np.ndarray) -> np.ndarray:
 def _ranks(chars: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """A stable order by character, each one's number among its equals, the distinct characters and their counts."""
     order = np.argsort(chars, kind="stable")
-    own, first, counts = np.unique(chars[order], return_index=True, return_counts=True)
-    return order, np.arange(len(chars)) - np.repeat(first, counts), own, counts
+    counts = np.bincount(chars)
+    own = np.flatnonzero(counts)
+    counts = counts[own]
+    return order, np.arange(len(chars)) - np.repeat(np.cumsum(counts) - counts, counts), own, counts
 
 
 def _induce(text: np.ndarray, small: np.ndarray, start: np.ndarray, end: np.ndarray, lms: np.ndarray) -> np.ndarray:
@@ -80,18 +82,31 @@ def _induce(text: np.ndarray, small: np.ndarray, start: np.ndarray, end: np.ndar
 
 
 def _doubled(text: np.ndarray) -> np.ndarray:
-    """The suffix array by doubling ranks."""
-    n, k, rank = len(text), 1, text.astype(np.int64)
+    """The suffix array by doubling ranks. A rank is where its group begins in the order; only groups of several are sorted again."""
+    n, k = len(text), 1
+
+    def heads(keys: np.ndarray) -> np.ndarray:
+        """For sorted keys, where each one's equals begin."""
+        new = np.append(True, keys[1:] != keys[:-1])
+        return np.maximum.accumulate(np.where(new, np.arange(len(keys)), 0))
+
+    order = np.argsort(text, kind="stable")
+    rank = np.empty(n, np.int64)
+    rank[order] = heads(text[order])
+    active = order
     while True:
-        second = np.zeros(n, np.int64)
-        second[: max(n - k, 0)] = rank[k:] + 1
-        order = np.lexsort((second, rank))
-        new = np.append(True, (rank[order][1:] != rank[order][:-1]) | (second[order][1:] != second[order][:-1]))
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new) - 1
-        if new.all():
-            return order
+        active = active[np.bincount(rank[active], minlength=n)[rank[active]] > 1]
+        if not len(active):
+            break
+        after = np.minimum(active + k, n - 1)
+        keys = rank[active] * (n + 1) + np.where(active + k < n, rank[after] + 1, 0)
+        by = np.argsort(keys)
+        active, keys = active[by], keys[by]
+        rank[active] = rank[active] + heads(keys) - heads(rank[active])
         k *= 2
+    order = np.empty(n, np.int64)
+    order[rank] = np.arange(n)
+    return order
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -99,6 +114,8 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     n = len(text)
     if n < 3:
         return np.arange(n)[::-1]
+    if len(text) and text.max() < 1 << 15:
+        text = text.astype(np.int16)  # sorted by digits, not by comparison
     small = _types(text)
     counts = np.bincount(text)
     end = np.cumsum(counts)

@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from lexiloom.llm import suffix_dedup
+from lexiloom.llm import common, suffix_dedup
 
 
 def brute(docs):
@@ -56,7 +56,7 @@ def test_edges(spark, monkeypatch):
     text = " ".join(str(i) for i in range(100))
     rows = [(3, text, 1), (3, text, 1), (5, text + " and more", 1), (None, text, 2), (7, "u" * 150_000, 3), (8, None, 4)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, start int")
-    monkeypatch.setattr(suffix_dedup, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
     got = sorted(((r.doc_id or 0, r.n_removed, r.n_spans) for r in suffix_dedup.report(docs).collect()))
     assert got == [(0, len(text), 1), (3, 0, 0), (3, 0, 0), (5, len(text), 1), (7, 149_999, 1), (8, 0, 0)]
     assert suffix_dedup.report(docs.limit(0)).collect() == []
