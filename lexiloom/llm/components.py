@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from .common import cut, prepare
 
+#: Edges that one task joins in memory.
+EDGES_PER_TASK = 200_000
+
 
 def _union(batches):
     """Joins the edges of one task; each node then points at the least node that it reaches there."""
@@ -31,14 +34,16 @@ def _union(batches):
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of an edge (child, parent): the component is its least node, which is its own.
 
-    Edges may come in either direction and repeat; loops are ignored. Large and small stars alternate until nothing changes;
-    every step writes edges of the order of the nodes. The result is checkpointed.
+    Edges may come in either direction and repeat; loops are ignored. Tasks of EDGES_PER_TASK edges join what they hold; between tasks, if there
+    are several, large and small stars alternate until nothing changes. Every step writes edges of the order of the nodes. The result is checkpointed.
     """
     prepare(edges.sparkSession)
     shape = ", ".join(f"{c} {edges.schema[c].dataType.simpleString()}" for c in ("child", "parent"))
-    now = cut(edges.select("child", "parent").mapInPandas(_union, shape).distinct())
+    edges = cut(edges.select("child", "parent").where("child != parent").distinct())
+    tasks = -(-edges.count() // EDGES_PER_TASK)
+    now = cut((edges.coalesce(1) if tasks <= 1 else edges.repartition(tasks)).mapInPandas(_union, shape).distinct())
     seen = None
-    while True:
+    while tasks > 1:
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("child", "parent").cast("decimal(38,0)"))).first()
         if tuple(mark) == seen:
             break

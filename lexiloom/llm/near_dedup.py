@@ -27,7 +27,7 @@ BANDS, ROWS = 32, 4
 #: Bounds of a block around a centre: bytes of differences, and nodes; and the columns of a matrix product.
 BLOCK_BYTES, BLOCK_NODES, COLUMNS = 1 << 19, 1024, 2048
 PERCENT = 80
-WORDS_KEPT = 300_000
+WORDS_KEPT = 150_000
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 LAST = 2**63 - 1  # stands for a null id, after all others
 

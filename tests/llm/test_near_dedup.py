@@ -120,7 +120,9 @@ def test_early_stop_changes_nothing():
         assert near_dedup.superminhash([h], slots)[0].tolist() == best
 
 
-def test_components(spark):
+@pytest.mark.parametrize("each", [200_000, 100])
+def test_components(spark, monkeypatch, each):
+    monkeypatch.setattr(components, "EDGES_PER_TASK", each)
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(1, 200)] + [(1000 + rng.randrange(300), 1000 + rng.randrange(300)) for _ in range(200)] + [(5000, 5000 + i) for i in range(1, 400)]
     parent = {}
