@@ -2,8 +2,9 @@
 
 A preference pair is a document labelled good and one labelled bad. The chance that the first is preferred is
 the logistic function of the difference of their scores, scores are linear in the features of the text, and
-the weights minimise the logistic loss over feature differences. The score below which a share of the
-documents lies that equals the share of bad labels is the threshold; scores are shifted so that it maps to THRESHOLD.
+the weights minimise the logistic loss over feature differences, of a bounded sample. The score below which a share of the
+labelled documents lies that equals the share of bad labels is the threshold, an exact quantile over all labelled documents that
+aren't held out; scores are shifted so that it maps to THRESHOLD.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import cut, prepare, small
 
 #: Most labelled documents of each label that the fit reads; drawn by hash of the id.
 SAMPLE_PER_LABEL = 4000
@@ -25,6 +26,8 @@ THRESHOLD = 0.3
 RIDGE = 1e-3
 STEPS = 40
 SEED = 17
+#: Intervals that a range of scores is cut into, again and again, until the one with the quantile holds a single score.
+BINS = 1024
 
 #: Byte classes: other, letter, capital, digit, blank, sentence mark, other mark, part of a non-ASCII character.
 _CLASS = np.zeros(256, dtype=np.uint8)
@@ -64,8 +67,12 @@ class Model(NamedTuple):
     weights: np.ndarray
     shift: float
 
+    def margin(self, x: np.ndarray) -> np.ndarray:
+        """Summed row by row, so that a row's value doesn't depend on its batch."""
+        return (np.clip((x - self.mean) / self.scale, -8, 8) * self.weights).sum(1)
+
     def score(self, x: np.ndarray) -> np.ndarray:
-        z = np.clip((x - self.mean) / self.scale, -8, 8) @ self.weights + self.shift
+        z = self.margin(x) + self.shift
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
@@ -74,7 +81,7 @@ def held_out(id_: Column) -> Column:
 
 
 def fit_pairs(good: np.ndarray, bad: np.ndarray, bad_share: float) -> Model:
-    """Weights by Newton's method on the logistic loss of feature differences; a flat model if a side is empty."""
+    """Weights by Newton's method on the logistic loss of feature differences, and the threshold among these rows; a flat model if a side is empty."""
     k = len(FEATURES)
     if not len(good) or not len(bad):
         return Model(np.zeros(k), np.ones(k), np.zeros(k), 0.0)
@@ -103,12 +110,47 @@ def fit_pairs(good: np.ndarray, bad: np.ndarray, bad_share: float) -> Model:
     weight = np.concatenate([np.full(len(g), (1 - bad_share) / len(g)), np.full(len(b), bad_share / len(b))])
     order = np.argsort(scores, kind="stable")
     at = min(int(np.searchsorted(np.cumsum(weight[order]), bad_share - 1e-9)), len(order) - 2)
-    cut = (scores[order[at]] + scores[order[at + 1]]) / 2
-    return Model(mean, scale, w, float(np.log(THRESHOLD / (1 - THRESHOLD)) - cut))
+    return Model(mean, scale, w, _shift((scores[order[at]] + scores[order[at + 1]]) / 2))
+
+
+def _shift(threshold: float) -> float:
+    return float(np.log(THRESHOLD / (1 - THRESHOLD)) - threshold)
+
+
+def threshold(margins: DataFrame, bad_share: float) -> float | None:
+    """The weighted quantile of all rows (good, z) at ``bad_share``, the good ones weighing 1 - bad_share together and the bad ones bad_share.
+
+    Midway to the next row's score, as in ``fit_pairs``. Exact: counts by intervals come to the driver, BINS rows at a time. None if a label has no rows.
+    """
+    margins = cut(margins)
+    ends = margins.agg(F.min("z").alias("low"), F.max("z").alias("high"), F.count("*").alias("n"), F.count_if("good").alias("n_good")).first()
+    if not 0 < ends["n_good"] < ends["n"]:
+        return None
+    of_good, of_bad = (1 - bad_share) / ends["n_good"], bad_share / (ends["n"] - ends["n_good"])
+    low, high, n, n_good = ends["low"], ends["high"], ends["n"], ends["n_good"]
+    good = bad = 0  # rows below the interval
+    before = after = None  # the nearest scores beside it
+    while low < high:
+        bin_ = F.least(F.floor((F.col("z") - low) / (high - low) * BINS), F.lit(BINS - 1)).alias("bin")
+        parts = margins.where(F.col("z").between(low, high)).groupBy(bin_).agg(F.min("z").alias("low"), F.max("z").alias("high"), F.count("*").alias("n"), F.count_if("good").alias("n_good"))
+        parts = sorted(parts.collect(), key=lambda r: r["bin"])
+        for i, r in enumerate(parts):
+            if i + 1 == len(parts) or (good + r["n_good"]) * of_good + (bad + r["n"] - r["n_good"]) * of_bad >= bad_share - 1e-9:
+                break
+            good, bad = good + r["n_good"], bad + r["n"] - r["n_good"]
+        before = parts[i - 1]["high"] if i else before
+        after = parts[i + 1]["low"] if i + 1 < len(parts) else after
+        low, high, n, n_good = r["low"], r["high"], r["n"], r["n_good"]
+    last = of_bad if n > n_good else of_good
+    if (good + n_good) * of_good + (bad + n - n_good) * of_bad - last >= bad_share - 1e-9:
+        return low  # reached within rows of the same score
+    if after is None:
+        return low if n > 1 or before is None else (before + low) / 2
+    return (low + after) / 2
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
-    """Learns from labelled documents that aren't held out. Only the features of a bounded sample come to the driver."""
+    """Learns from labelled documents that aren't held out. The weights come from a bounded sample, whose features come to the driver; the threshold from all."""
     prepare(docs.sparkSession)
     known = labels.where(~held_out(F.col(id_col)) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), (F.col(label_col) == 1).alias("good")).where("good is not null")
     share = {r.good: r.n for r in known.groupBy("good").agg(F.count("*").alias("n")).collect()}  # two rows
@@ -122,7 +164,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     seen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(some, "id").select("good", "id", F.xxhash64("id").alias("at"), vector("text").alias("x"))
     rows = sorted(seen.limit(4 * SAMPLE_PER_LABEL).collect(), key=lambda r: (r["at"], r["id"], r["x"]))
     side = lambda good: np.array([r["x"] for r in rows if r["good"] is good]).reshape(-1, len(FEATURES))
-    return fit_pairs(side(True), side(False), share.get(False, 0) / max(sum(share.values()), 1))
+    bad_share = share.get(False, 0) / max(sum(share.values()), 1)
+    model = fit_pairs(side(True), side(False), bad_share)
+    if not model.weights.any():
+        return model
+
+    @F.pandas_udf("double")
+    def margin(text: pd.Series) -> pd.Series:
+        return pd.Series(model.margin(np.array([features(x) for x in text]).reshape(-1, len(FEATURES))))
+
+    # Labels may be too many to broadcast; then ids and margins are shuffled, not texts.
+    margins = docs.select(F.col(id_col).alias("id"), margin(F.col(text_col).cast("string")).alias("z")).join(small(known.distinct(), 17), "id").select("good", "z")
+    found = threshold(margins, bad_share)
+    return model if found is None else model._replace(shift=_shift(found))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", into: str = "score") -> DataFrame:

@@ -37,3 +37,29 @@ def test_weights_follow_the_differences():
     good, bad = np.zeros((5, len(quality.FEATURES))), np.ones((5, len(quality.FEATURES)))
     model = quality.fit_pairs(good, bad, 0.5)
     assert model.score(good).min() >= quality.THRESHOLD > model.score(bad).max()
+
+
+def test_threshold_covers_all_labelled_rows(spark, monkeypatch):
+    """The quantile is over every labelled row that isn't held out, however few the fit reads."""
+    monkeypatch.setattr(quality, "SAMPLE_PER_LABEL", 8)
+    rng = random.Random(2)
+    texts = [(i, " ".join("A!b" if rng.random() < (0.6 if i % 4 == 0 else 0.3) else rng.choice(["word", "other", "thing"]) for _ in range(40))) for i in range(800)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i, _ in texts], "doc_id long, quality int")
+    rows = [r for r in quality.rate(docs, labels).collect() if not r.held_out]
+    bad = sum(r.doc_id % 4 == 0 for r in rows)
+    scores = sorted(r.score for r in rows)
+    assert scores[bad - 1] <= quality.THRESHOLD <= scores[bad]
+
+
+def test_threshold_against_sorting(spark, monkeypatch):
+    monkeypatch.setattr(quality, "BINS", 5)
+    rng = random.Random(3)
+    for n_good, n_bad, step in ((300, 100, 0), (300, 100, 0.5), (1, 1, 0), (1, 9, 0), (40, 1, 1)):
+        z = [(g, float(rng.gauss(g, 1) if not step else round(rng.gauss(g, 1) / step) * step)) for g in [True] * n_good + [False] * n_bad]
+        share = 0.25
+        weight = {True: (1 - share) / n_good, False: share / n_bad}
+        rows = sorted(z, key=lambda r: (r[1], not r[0]))
+        at = min(int(np.searchsorted(np.cumsum([weight[g] for g, _ in rows]), share - 1e-9)), len(rows) - 2)
+        assert quality.threshold(spark.createDataFrame(z, "good boolean, z double"), share) == (rows[at][1] + rows[at + 1][1]) / 2
+    assert quality.threshold(spark.createDataFrame([(True, 1.0)], "good boolean, z double"), 0.5) is None
