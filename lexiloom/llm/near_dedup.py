@@ -17,7 +17,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, mix64, prepare, shuffle_parts, slices, small
@@ -115,22 +115,22 @@ def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, k: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(rid, n, node, keys) for (rid, text): set size, digest of the set, band keys; node and keys are null for an empty set."""
+    """(rid, h, n, node, keys) for (rid, h, text): set size, digest of the set, band keys; node and keys are null for an empty set."""
 
     def run(batches):
         shingler = Shingler(k)
         for b in batches:
-            ids, texts = b["rid"].to_numpy(), b["text"].tolist()
+            ids, hashes, texts = b["rid"].to_numpy(), b["h"].to_numpy(), b["text"].tolist()
             for start, end in slices(texts):
                 sets = [shingler.set(t) for t in texts[start:end]]
                 keys = band_keys(superminhash(sets, bands * rows), bands, rows)
                 yield pd.DataFrame({
-                    "rid": ids[start:end], "n": [len(s) for s in sets],
+                    "rid": ids[start:end], "h": hashes[start:end], "n": [len(s) for s in sets],
                     "node": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
                     "keys": [key if len(s) else None for key, s in zip(keys, sets)],
                 })
 
-    return docs.mapInPandas(run, "rid long, n long, node binary, keys array<long>")
+    return docs.mapInPandas(run, "rid long, h long, n long, node binary, keys array<long>")
 
 
 def full_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -229,14 +229,30 @@ def groups(docs: DataFrame, k: int, percent: int = PERCENT, id_col: str = "doc_i
     have equal sets and one component. A null id comes after all others: it is its component's name only if there is no other, and such a row
     is kept. Extra columns are not read; an empty table gives no rows.
     """
-    spark = prepare(docs.sparkSession)
-    own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("rid"), F.col(text_col).alias("text"))
+    id_type = docs.schema[id_col].dataType
+    back = lambda c: F.when(F.col(c) != LAST, F.col(c)).cast(id_type)
+    named = _named(docs, k, percent, id_col, text_col).withColumn("name", F.col("first.rid"))
+    return named.select(back("rid").alias(id_col), F.col("n").alias("n_shingles"), back("name").alias("component_id"), (F.col("rid") == F.col("name")).alias("kept"))
+
+
+def _row_id(id_: Column) -> Column:
+    return F.coalesce(id_.cast("long"), F.lit(LAST))
+
+
+def _text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def _named(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document row: rid, the text's hash h, n, and first, the least (rid, h) of its component."""
+    prepare(docs.sparkSession)
+    own = docs.select(_row_id(F.col(id_col)).alias("rid"), _text_hash(F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
     sketched = cut(sketch(own, k))
-    reps = sketched.where("node is not null").groupBy("node").agg(F.min("rid").alias("rid"), F.first("keys").alias("keys"))
+    reps = sketched.where("node is not null").groupBy("node").agg(F.min(F.struct("rid", "h")).alias("first"), F.first("keys").alias("keys"))
     keyed = reps.select("node", F.explode("keys").alias("key"))
     centres = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("centre")).where("size > 1")
     bucketed = cut(keyed.join(centres.select("key", "centre"), "key"))
-    wanted = cut(bucketed.select("node").distinct().join(reps.select("node", "rid"), "node"))
+    wanted = cut(bucketed.select("node").distinct().join(reps.select("node", F.col("first.rid").alias("rid")), "node"))
     sets = full_sets(own.join(small(wanted.select("rid").distinct(), 16), "rid").select("text"), k).dropDuplicates(["node"])
     sets = cut(sets.join(wanted.select("node"), "node", "left_semi"))
 
@@ -248,22 +264,27 @@ def groups(docs: DataFrame, k: int, percent: int = PERCENT, id_col: str = "doc_i
     if not more.isEmpty():
         component = components(links.unionByName(more))
 
-    joined = component.join(reps.select("node", "rid"), "node")
-    names = joined.groupBy("component").agg(F.min("rid").alias("name"))
+    joined = component.join(reps.select("node", "first"), "node")
+    names = joined.groupBy("component").agg(F.min("first").alias("name"))
     named = joined.join(names, "component").select("node", "name")
-    nodes = reps.select("node", "rid").join(named, "node", "left").select("node", F.coalesce("name", "rid").alias("name"))
-    full = sketched.where("node is not null").select("rid", "n", "node").join(nodes, "node").select("rid", "n", "name")
-    empty = sketched.where("node is null").select("rid", "n", F.col("rid").alias("name"))
-    id_type = docs.schema[id_col].dataType
-    back = lambda c: F.when(F.col(c) != LAST, F.col(c)).cast(id_type)
-    return full.unionByName(empty).select(back("rid").alias(id_col), F.col("n").alias("n_shingles"), back("name").alias("component_id"), (F.col("rid") == F.col("name")).alias("kept"))
+    nodes = reps.select("node", "first").join(named, "node", "left").select("node", F.coalesce("name", "first").alias("first"))
+    full = sketched.where("node is not null").select("rid", "h", "n", "node").join(nodes, "node").select("rid", "h", "n", "first")
+    empty = sketched.where("node is null").select("rid", "h", "n", F.struct("rid", "h").alias("first"))
+    return full.unionByName(empty)
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with one document of each group, the one with the least id; of rows that repeat an id, one. All columns stay."""
-    found = cut(groups(docs, k, percent).groupBy("doc_id").agg(F.count("*").alias("copies"), F.max("kept").alias("kept")).where("copies > 1 or not kept"))
-    mark = found.select(F.col("doc_id").alias("_id"), F.col("kept").alias("_kept"))
-    marked = docs.join(small(mark, 16), docs["doc_id"].eqNullSafe(F.col("_id")), "left")
+    """``docs`` with one document of each group, the one with the least id, and of those that share it the one with the least hash of
+    the text; of rows that repeat an id and text, one. All columns stay.
+
+    Rows are told apart by id and text: a row goes only if another one of its own group stays, so rows without an id, or with different texts
+    under one id, stay unless they are near copies. Rows without an id and without words are linked with nothing and all stay.
+    """
+    rows = _named(docs, k, percent).where(~((F.col("rid") == LAST) & (F.col("n") == 0)))
+    stays = (F.col("rid") == F.col("first.rid")) & (F.col("h") == F.col("first.h"))
+    found = cut(rows.groupBy("rid", "h").agg(F.count("*").alias("copies"), F.max(stays).alias("kept")).where("copies > 1 or not kept"))
+    mark = found.select(F.col("rid").alias("_rid"), F.col("h").alias("_h"), F.col("kept").alias("_kept"))
+    marked = docs.join(small(mark, 24), (_row_id(docs["doc_id"]) == F.col("_rid")) & (_text_hash(docs["text"]) == F.col("_h")), "left")
     once = marked.where("_kept is null").select(*docs.columns)
-    again = marked.where("_kept").dropDuplicates(["doc_id"]).select(*docs.columns)
+    again = marked.where("_kept").dropDuplicates(["_rid", "_h"]).select(*docs.columns)
     return once.unionByName(again)

@@ -93,6 +93,18 @@ def test_edges(spark):
     assert near_dedup.groups(docs.limit(0), 2).collect() == [] and near_dedup.keep_one(docs.limit(0)).collect() == []
 
 
+def test_keep_one_tells_rows_apart(spark):
+    """Rows without an id, and texts under one id, stay unless a row of their own group does."""
+    base = " ".join(f"w{i}" for i in range(60))
+    near, other = base + " more", "another text of quite different words"
+    rows = [(None, "first text that has no id", 1), (None, "second text without one either", 2), (None, "second text without one either", 3), (None, None, 4), (None, "", 5)]
+    rows += [(4, base, 6), (9, near, 7), (9, other, 8), (9, other, 9), (None, base, 10)]
+    left = near_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string, row int")).collect()
+    kept = sorted(r.row for r in left)
+    assert [x for x in kept if x not in (2, 3, 8, 9)] == [1, 4, 5, 6]
+    assert len({2, 3} & set(kept)) == 1 and len({8, 9} & set(kept)) == 1
+
+
 def test_signature_estimates_jaccard():
     rng = np.random.default_rng(0)
     pool = rng.integers(0, 2**64, 900, dtype=np.uint64)
