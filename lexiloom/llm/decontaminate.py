@@ -58,7 +58,16 @@ def matches(docs: DataFrame, items: DataFrame, least: float = LEAST, id_col: str
     words; an empty or null text has none and matches nothing. Repeated rows of a document or an item count once, by their
     ids together with their texts; a null id is an id like others. No documents or no items give no rows. Other columns are not read.
     """
-    doc = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"))
+    return _matches(docs, items, least, id_col, text_col, item_col).drop("h")
+
+
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def _matches(docs: DataFrame, items: DataFrame, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+    """``matches`` with the hash ``h`` of the document's text, which tells rows apart that share an id."""
+    doc = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"), text_hash(F.col(text_col)).alias("h"))
     item = items.select(F.col(item_col).alias("item"), words(F.col(text_col)).alias("w")).distinct()
     item = item.withColumn("shingles", shingle_texts(F.col("w"))).withColumn("hashes", F.array_distinct(shingle_hashes(F.col("w")))).where(F.size("shingles") > 0)
     item = cut(item.select("item", "shingles", F.slice(F.array_sort("hashes"), F.lit(1), sketch_size(F.size("hashes"), least)).alias("sketch"), F.xxhash64("shingles").alias("ih")))
@@ -71,15 +80,15 @@ def matches(docs: DataFrame, items: DataFrame, least: float = LEAST, id_col: str
     # Words get a column of their own: inside the window expression they would be cut again for every window.
     found = found.withColumn("w", words(F.col("text"))).select("doc", "h", shingle_texts(F.col("w")).alias("own"))
     of_pair = pairs.select(F.col("doc").alias("cdoc"), F.col("h").alias("ch"), "item", "ih")
-    found = found.join(of_pair, found["doc"].eqNullSafe(F.col("cdoc")) & (F.col("h") == F.col("ch"))).select("doc", "own", "item", "ih")
+    found = found.join(of_pair, found["doc"].eqNullSafe(F.col("cdoc")) & (F.col("h") == F.col("ch"))).select("doc", "h", "own", "item", "ih")
     of = small(item.select(F.col("item").alias("iitem"), F.col("ih").alias("iih"), "shingles"), F.octet_length(F.array_join("shingles", "|")) + 8 * F.size("shingles"))
     shared = found.join(of, F.col("item").eqNullSafe(F.col("iitem")) & (F.col("ih") == F.col("iih"))).select(
-        F.col("doc").alias(id_col), F.col("item").alias(item_col), F.size("shingles").cast("long").alias("n_shingles"), F.size(F.array_intersect("own", "shingles")).cast("long").alias("n_shared")
+        "h", F.col("doc").alias(id_col), F.col("item").alias(item_col), F.size("shingles").cast("long").alias("n_shingles"), F.size(F.array_intersect("own", "shingles")).cast("long").alias("n_shared")
     )
     return shared.withColumn("containment", F.col("n_shared") / F.col("n_shingles")).where(F.col("n_shared") >= F.lit(least) * F.col("n_shingles"))
 
 
 def clean(docs: DataFrame, items: DataFrame, least: float = LEAST) -> DataFrame:
-    """``docs`` without the documents that hold a test item; all columns and all other rows stay."""
-    hit = cut(matches(docs, items, least).select(F.col("doc_id").alias("_hit")).distinct())
-    return docs.join(small(hit, 8), docs["doc_id"].eqNullSafe(F.col("_hit")), "left_anti")
+    """``docs`` without the documents that hold a test item; all columns and all other rows stay, those under the same or no id too."""
+    hit = cut(_matches(docs, items, least).select(F.col("doc_id").alias("_hit"), F.col("h").alias("_hit_text")).distinct())
+    return docs.join(small(hit, 16), docs["doc_id"].eqNullSafe(F.col("_hit")) & (text_hash(docs["text"]) == F.col("_hit_text")), "left_anti")

@@ -50,3 +50,11 @@ def test_without_broadcast_and_empty(spark, monkeypatch):
     docs = spark.createDataFrame([(1, f"x {item}", "a", 1), (2, "clean", "b", 2), (None, None, "c", 3)], "doc_id long, text string, items string, hash int")
     left = decontaminate.clean(docs, spark.createDataFrame([(7, item)], "item_id long, text string"))
     assert left.columns == docs.columns and sorted(r["hash"] for r in left.collect()) == [2, 3]
+
+
+def test_clean_tells_rows_apart(spark):
+    """A contaminated row takes no clean one with it, be it without an id or under the same one."""
+    item = "one two three four five six seven"
+    rows = [(None, f"x {item}", 1), (None, "clean text of no item", 2), (None, None, 3), (5, f"{item} y", 4), (5, "clean too", 5)]
+    left = decontaminate.clean(spark.createDataFrame(rows, "doc_id long, text string, row int"), spark.createDataFrame([(7, item)], "item_id long, text string"))
+    assert sorted(r.row for r in left.collect()) == [2, 3, 5]
