@@ -2,12 +2,15 @@
 
 A text becomes the blank mark followed by the text with its spaces turned into blank marks; adjacent symbols are merged from an
 agenda, best piece first and leftmost among equals, and what no piece covers falls back to bytes. When a candidate comes up it is
-skipped if a hash keyed by the seed, the unit's variant, the unit, its place and the piece falls below the dropout rate; a skipped candidate isn't
+skipped if a hash keyed by the seed, the occurrence, the unit, its place and the piece falls below the dropout rate; a skipped candidate isn't
 tried again. Whatever is skipped, the pieces spell the text, so decoding gives it back exactly.
 
 No piece has a blank mark after another character, and some characters stand in no longer piece; merging therefore
-never crosses the cuts made there, and the units in between are encoded apart and kept. An occurrence's variant, one of VARIANTS, is a hash of
-the seed, the text and the occurrence's number, so that a word is segmented in several ways in one text, in the same ways on every run.
+never crosses the cuts made there, and the units in between are encoded apart. An occurrence is named by a hash of the seed, the text and its number
+in the text, so each one is segmented by draws of its own, the same ones on every run. What is kept of a unit is a tree: its
+segmentation without skips beside the candidates that come up on the way, and below it, by the first one that is skipped, the segmentation and
+further candidates from there on. An occurrence draws for the candidates of a node, all occurrences of a slice at once, and goes
+down at its first skip. Nodes are made when they are needed a second time; the first time the occurrence is merged by itself.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ import hashlib
 import re
 from bisect import bisect_right
 from heapq import heapify, heappop, heappush
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -30,19 +33,22 @@ from .common import mix64, prepare, slices
 BLANK = "▁"
 DROPOUT = 0.1
 SEED = 20
-VARIANTS = 4
-#: Units kept in each of two generations.
-UNITS_KEPT = 120_000
-SHORT_UNIT, LONGEST_KEPT = 40, 64
+#: Nodes of units' trees kept in each of two generations.
+NODES_KEPT = 150_000
+#: Most characters of a unit that has a tree, and the most candidates that its paths tell apart; beyond them each occurrence is merged by itself.
+SHORT_UNIT, MOST_DRAWN = 40, 64
 TOGETHER = 4096
 FULL, NEVER = (1 << 64) - 1, 1 << 30
 BASE = 0x9E3779B97F4A7C15
+#: Instead of a root: of a unit that has no tree, and of one met once.
+ALONE, MET = ([None, b"", None, 0, 1] for _ in range(2))
+OF_OCCURRENCE, OF_SEED, OF_PLACE, OF_RANK = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
 
 class Codec:
     """The vocabulary of a byte-fallback BPE model, with encoding and decoding."""
 
-    def __init__(self, data: bytes, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS):
+    def __init__(self, data: bytes, dropout: float = DROPOUT, seed: int = SEED):
         from sentencepiece import SentencePieceProcessor
 
         model = SentencePieceProcessor(model_proto=data)
@@ -75,32 +81,32 @@ class Codec:
         self.of_char = np.full(0x110000, -1, np.int32)
         for c in {c for p in longer for c in p}:
             self.of_char[ord(c)] = self.id_of.get(c, -1)
-        #: A unit's piece ids, four bytes each, by variant; None where not yet needed; two generations.
-        self.variants = variants if dropout else 1
-        self.unknown = (None,) * self.variants
-        self.kept: dict[str, list[bytes | None]] = {}
-        self.kept_before: dict[str, list[bytes | None]] = {}
+        #: A unit's tree; two generations. A node is [ids, draws, children, mask of the skipped candidates]: piece ids of four bytes, the drawn parts of
+        #: its candidates' keys of eight, and nodes by the place of the skipped candidate in ``draws``, False if met once. A root has the tree's size too.
+        self.kept: dict[str, list] = {}
+        self.kept_before: dict[str, list] = {}
+        self.nodes = 0
 
-    def key(self, unit: str, variant: int) -> int:
+    def key(self, unit: str, occurrence: int) -> int:
         """A polynomial of the characters, so that it can be had for many units at once."""
-        key = variant * 0xD6E8FEB86659FD93 + self.seed * 0xA0761D6478BD642F
+        key = occurrence * OF_OCCURRENCE + self.seed * OF_SEED
         for i, c in enumerate(unit):
             key += ord(c) * pow(BASE, i + 1, 1 << 64)
         return key & FULL
 
     def skipped(self, key: int, left: int, rank: int) -> bool:
-        x = (key + left * 0x9E3779B97F4A7C15 + rank * 0xC2B2AE3D27D4EB4F) * 0xBF58476D1CE4E5B9 & FULL
+        x = (key + left * OF_PLACE + rank * OF_RANK) * 0xBF58476D1CE4E5B9 & FULL
         x = (x ^ (x >> 32)) * 0x94D049BB133111EB & FULL
         return x ^ (x >> 31) < self.bar
 
-    def merge(self, unit: str, variant: int) -> list[str]:
+    def merge(self, unit: str, occurrence: int) -> list[str]:
         """The unit's symbols after the agenda is empty. Short units keep it as a plain list: its least entry is found faster than a heap is kept."""
         if len(unit) > SHORT_UNIT:
-            return self._merge_long(unit, variant)
+            return self._merge_long(unit, occurrence)
         rank, bar = self.rank.get, self.bar
         symbols, starts = list(unit), list(range(len(unit)))
         agenda = [rank(a + b, NEVER) for a, b in zip(unit, unit[1:])]
-        key = self.key(unit, variant)
+        key = self.key(unit, occurrence)
         while agenda and (r := min(agenda)) < NEVER:
             i = agenda.index(r)
             if bar and self.skipped(key, starts[i], r):
@@ -114,14 +120,14 @@ class Codec:
                 agenda[i - 1] = rank(symbols[i - 1] + symbols[i], NEVER)
         return symbols
 
-    def _merge_long(self, unit: str, variant: int) -> list[str]:
+    def _merge_long(self, unit: str, occurrence: int) -> list[str]:
         """The same with a heap and linked symbols."""
         symbols, rank = list(unit), self.rank
         n = len(symbols)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
         agenda = [(r, i, 2) for i in range(n - 1) if (r := rank.get(unit[i : i + 2])) is not None]
         heapify(agenda)
-        key = self.key(unit, variant)
+        key = self.key(unit, occurrence)
         while agenda:
             r, i, size = heappop(agenda)
             j = after[i]
@@ -142,10 +148,10 @@ class Codec:
                 heappush(agenda, (r, h, len(symbols[h]) + len(symbols[i])))
         return [s for s in symbols if s]
 
-    def spelt(self, unit: str, variant: int) -> tuple[int, ...]:
+    def spelt(self, unit: str, occurrence: int) -> tuple[int, ...]:
         """The piece ids of one unit; symbols without a piece are spelt in bytes."""
         # So is the blank mark itself, if a text has it: as a piece it would come back as a space.
-        symbols = [unit] if unit == BLANK else self.merge(unit.replace(" ", BLANK), variant)
+        symbols = [unit] if unit == BLANK else self.merge(unit.replace(" ", BLANK), occurrence)
         ids = [self.id_of.get(s) if unit != BLANK else None for s in symbols]
         return tuple(chain.from_iterable([self.bytes[b] for b in s.encode()] if i is None else [i] for s, i in zip(symbols, ids)))
 
@@ -154,8 +160,10 @@ class Codec:
         at = np.searchsorted(self.pair_keys, key)
         return np.where((left >= 0) & (right >= 0) & (self.pair_keys[at] == key), self.pair_ranks[at], np.int32(NEVER))
 
-    def _together(self, units: list[str], variant: int) -> list[bytes | None]:
-        """``spelt`` for many short units in step, one agenda entry of each at a time, four bytes an id; None where a character has no piece."""
+    def _together(self, units: list[str], masks: list[int] | None, base: np.ndarray | None = None) -> list[tuple[bytes, bytes] | None]:
+        """For many short units in step, one agenda entry of each at a time: the piece ids if the candidates in the mask are skipped, and the drawn
+        parts of the candidates after the last of these; None where a character has no piece. Without masks skips are drawn, with ``base``
+        the keys without the unit's part."""
         n, sizes = len(units), np.array([len(u) for u in units])
         width = int(sizes.max()) + 1
         chars = np.frombuffer("".join(units).replace(" ", BLANK).encode("utf-32-le"), np.uint32)
@@ -169,25 +177,32 @@ class Codec:
         points = np.zeros((n, width), np.uint64)
         points[inside] = chars
         powers = np.cumprod(np.full(width, BASE, np.uint64))
-        keys = (points * powers).sum(1, dtype=np.uint64) + np.uint64((variant * 0xD6E8FEB86659FD93 + self.seed * 0xA0761D6478BD642F) & FULL)
+        keys = (points * powers).sum(1, dtype=np.uint64)
         after, before = (np.tile(np.arange(width, dtype=np.int64) + d, (n, 1)) for d in (1, -1))
         s, nxt, prv, todo = symbol.ravel(), after.ravel(), before.ravel(), agenda.ravel()
-        rows = np.arange(n)
+        rows, left_to_skip = np.arange(n), None if masks is None else np.array(masks, np.uint64)
+        if masks is None:
+            keys += base
+        met: list[np.ndarray] = [np.zeros(0, np.int64)]
+        draws: list[np.ndarray] = [np.zeros(0, np.uint64)]
         while len(rows):
             best = agenda[rows].argmin(1)
             at = rows * width + best
             rank = todo[at]
             busy = rank < NEVER
             rows, best, at, rank = rows[busy], best[busy], at[busy], rank[busy]
-            if self.bar:
-                x = (keys[rows] + best.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + rank.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0xBF58476D1CE4E5B9)
-                x = (x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
-                skip = (x ^ (x >> np.uint64(31))) < np.uint64(self.bar)
-                todo[at[skip]] = NEVER
-                go = ~skip
-                best, at, rank, base = best[go], at[go], rank[go], (rows * width)[go]
+            drawn = keys[rows] + best.astype(np.uint64) * np.uint64(OF_PLACE) + rank.astype(np.uint64) * np.uint64(OF_RANK)
+            if masks is None:
+                skip = self._skips(drawn)
             else:
-                base = rows * width
+                open_ = left_to_skip[rows] == 0
+                met.append(rows[open_])
+                draws.append(drawn[open_])
+                skip = (left_to_skip[rows] & np.uint64(1)) > 0
+                left_to_skip >>= np.uint64(1)
+            todo[at[skip]] = NEVER
+            go = ~skip
+            best, at, rank, base = best[go], at[go], rank[go], (rows * width)[go]
             gone = base + nxt[at]
             s[at] = self.by_rank[rank]
             s[gone] = -1
@@ -201,22 +216,117 @@ class Codec:
             has = prv[at] >= 0
             left = (base + prv[at])[has]
             todo[left] = self._ranks(s[left], s[at[has]])
+        of = np.concatenate(met)
+        drawn, stops = np.concatenate(draws)[np.argsort(of, kind="stable")].tobytes(), (8 * np.cumsum(np.bincount(of, minlength=n))).tolist()
         ids, ends = s[s >= 0].astype("<i4").tobytes(), (4 * np.cumsum((symbol >= 0).sum(1))).tolist()
-        out: list[bytes | None] = [ids[a:b] for a, b in zip([0, *ends], ends)]
+        out: list[tuple[bytes, bytes] | None] = [(ids[a:b], drawn[c:d]) for a, b, c, d in zip([0, *ends], ends, [0, *stops], stops)]
         for i in np.flatnonzero(~covered).tolist():
             out[i] = None
         return out
 
-    def spell(self, units: list[str], variant: int) -> list[bytes]:
-        """The piece ids of units, four bytes each; ``units`` is sorted by length, and those of like length go together."""
-        units.sort(key=len)
-        first, last = bisect_right(units, 1, key=len), bisect_right(units, SHORT_UNIT, key=len)
-        out: list[bytes | None] = [None] * first
+    def _skips(self, drawn: np.ndarray) -> np.ndarray:
+        """``skipped`` for many candidates."""
+        if not self.bar:
+            return np.zeros(len(drawn), bool)
+        x = drawn * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+        return (x ^ (x >> np.uint64(31))) <= np.uint64(self.bar - 1)
+
+    def _alone(self, units: list[str], numbers: np.ndarray, base: np.ndarray) -> list[bytes]:
+        """``spelt`` for each unit and number, without trees."""
+        order = sorted(range(len(units)), key=lambda i: len(units[i]))
+        out: list[bytes | None] = [None] * len(units)
+        first, last = (bisect_right(order, size, key=lambda i: len(units[i])) for size in (1, SHORT_UNIT))
         for i in range(first, last, TOGETHER):
-            out += self._together(units[i : min(i + TOGETHER, last)], variant)
-        out += [None] * (len(units) - last)
-        if None in out:
-            out = [np.array(self.spelt(u, variant), "<i4").tobytes() if x is None else x for u, x in zip(units, out)]
+            some = order[i : min(i + TOGETHER, last)]
+            for at, made in zip(some, self._together([units[j] for j in some], None, base[some])):
+                out[at] = made and made[0]
+        return [np.array(self.spelt(u, int(v)), "<i4").tobytes() if x is None else x for x, u, v in zip(out, units, numbers)]
+
+    def _grow(self, new: list[tuple[str, int, list]]) -> None:
+        """Fills new nodes (unit, mask of the skipped candidates, node). One that can't be kept so gets no draws, and no ids if they depend on the occurrence."""
+        new.sort(key=lambda x: len(x[0]))
+        first = bisect_right(new, 1, key=lambda x: len(x[0]))
+        for unit, _, node in new[:first]:
+            node[:2] = np.array(self.spelt(unit, 0), "<i4").tobytes(), b""
+        for i in range(first, len(new), TOGETHER):
+            some = new[i : i + TOGETHER]
+            for (_, _, node), made in zip(some, self._together([x[0] for x in some], [x[1] for x in some])):
+                node[:2] = made or (None, b"")
+        self.nodes += len(new)
+
+    def _roots(self, units: list[str]) -> list[list]:
+        found = list(map(self.kept.get, units))
+        new, kept, before = [], self.kept, self.kept_before
+        for i in [i for i, root in enumerate(found) if root is None or root is MET]:
+            unit = units[i]
+            if len(unit) > SHORT_UNIT:
+                found[i] = ALONE
+                continue
+            root = kept.get(unit)
+            if root is None and (root := before.get(unit)) is not None:
+                self.nodes += root[4]
+            if root is None:
+                root = MET
+                self.nodes += 1
+                kept[unit] = root
+            elif root is MET:
+                root = [None, b"", None, 0, 1]
+                new.append((unit, 0, root))
+            kept[unit] = found[i] = root
+        self._grow(new)
+        return found
+
+    def spell(self, units: list[str], occurrences) -> list[bytes]:
+        """The piece ids of units, four bytes each: ``spelt`` for each unit and the number of its occurrence (one for all, or an array)."""
+        roots = self._roots(units)
+        out = [root[0] for root in roots]
+        numbers = np.broadcast_to(np.asarray(occurrences, np.uint64), len(units))
+        base = numbers * np.uint64(OF_OCCURRENCE) + np.uint64(self.seed * OF_SEED & FULL)
+        alone = [i for i, ids in enumerate(out) if ids is None] if None in out else []
+        at, nodes = np.arange(len(units)), roots
+        while self.bar and len(at):
+            parts = [node[1] for node in nodes]
+            sizes = np.fromiter(map(len, parts), np.int64, len(parts)) >> 3
+            hits = np.flatnonzero(self._skips(np.repeat(base[at], sizes) + np.frombuffer(b"".join(parts), np.uint64)))
+            ends = np.cumsum(sizes)
+            of = np.searchsorted(ends, hits, "right")
+            first = np.append(True, of[1:] != of[:-1])[: len(of)]
+            of = of[first]
+            skips = (hits[first] - (ends - sizes)[of]).tolist()
+            below, places, new = [], [], []
+            for i, j, occurrence in zip(of.tolist(), skips, at[of].tolist()):
+                node = nodes[i]
+                child = node[2].get(j) if node[2] else None
+                if child:
+                    out[occurrence] = child[0]
+                    if child[1] or child[0] is None:  # None: made in this round
+                        below.append(child)
+                        places.append(occurrence)
+                    continue
+                drawn = node[3].bit_length() + j
+                if child is None or drawn >= MOST_DRAWN:
+                    if node[2] is None:
+                        node[2] = {}
+                    node[2][j] = False
+                    alone.append(occurrence)
+                    continue
+                mask = node[3] | 1 << drawn
+                child = node[2][j] = [None, b"", None, mask]
+                roots[occurrence][4] += 1
+                new.append((units[occurrence], mask, child))
+                below.append(child)
+                places.append(occurrence)
+            if new:
+                self._grow(new)
+                for occurrence, node in zip(places, below):
+                    out[occurrence] = node[0]
+            at, nodes = np.array(places, np.int64), below
+        if alone:
+            for i, ids in zip(alone, self._alone([units[i] for i in alone], numbers[alone], base[alone])):
+                out[i] = ids
+        if self.nodes > NODES_KEPT:
+            self.kept_before, self.kept, self.nodes = self.kept, {}, 0
         return out
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
@@ -229,40 +339,21 @@ class Codec:
             if collecting:
                 gc.enable()
 
+    def occurrences(self, text: str, n: int) -> np.ndarray:
+        """The numbers of the occurrences of a text's units, by which they draw."""
+        key = np.uint64(xxhash.xxh3_64_intdigest(text, seed=self.seed))
+        return mix64(key + np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
     def _encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        cut, kept, before = self.units.findall, self.kept, self.kept_before
-        every, missing = [], [set() for _ in self.unknown]
+        units, numbers, ends = [], [np.zeros(0, np.uint64)], []
         for text in texts:
-            units = cut(" " + text) if text else []
-            if self.bar:
-                key = np.uint64(xxhash.xxh3_64_intdigest(text, seed=self.seed))
-                variants = (mix64(key + np.arange(len(units), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(self.variants)).tolist()
-            else:
-                variants = [0] * len(units)
-            found = [ids[v] for ids, v in zip(map(kept.get, units, repeat(self.unknown)), variants)]
-            open_at = [i for i, ids in enumerate(found) if ids is None] if None in found else []
-            for i in open_at:
-                u, v = units[i], variants[i]
-                own = kept.get(u)
-                if own is None:
-                    own = kept[u] = before.get(u) or [None] * self.variants
-                if own[v] is None:
-                    missing[v].add(u)
-            every.append((found, open_at, units, variants))
-        for v, some in enumerate(missing):
-            some = list(some)
-            for u, ids in zip(some, self.spell(some, v)):
-                kept[u][v] = ids
-        out = []
-        for found, open_at, units, variants in every:
-            for i in open_at:
-                found[i] = kept[units[i]][variants[i]]
-            out.append(np.frombuffer(b"".join(found), "<i4"))
-        for u in [u for some in missing for u in some if len(u) > LONGEST_KEPT]:
-            kept.pop(u, None)
-        if len(kept) > UNITS_KEPT:
-            self.kept_before, self.kept = kept, {}
-        return out
+            start = len(units)
+            if text:
+                units += self.units.findall(" " + text)
+                numbers.append(self.occurrences(text, len(units) - start))
+            ends.append(len(units))
+        ids = self.spell(units, np.concatenate(numbers))
+        return [np.frombuffer(b"".join(ids[a:b]), "<i4") for a, b in zip([0, *ends], ends)]
 
     def encode(self, text: str) -> np.ndarray:
         return self.encode_all([text])[0]

@@ -81,3 +81,40 @@ def test_rows(spark):
     assert pieces.digest(docs.limit(0), PATH).collect() == []
     back = pieces.decode(pieces.encode(docs, PATH), PATH).collect()
     assert all(r.decoded == r.text for r in back)
+
+
+def test_occurrences_draw_by_themselves():
+    """A word that occurs often is segmented in all ways and at the rate of its candidates, not in a few for the whole corpus."""
+    codec = pieces.Codec(DATA)
+    word = " station"
+    in_text = codec.encode(word[1:] + word * 3999)
+    spelt = "".join(f"|{codec.text_of[i]}" for i in in_text.tolist()).split("| ")
+    assert len(set(spelt)) > 8
+    made = [tuple(codec.spelt(word, int(x))) for text in ("one", "two") for x in codec.occurrences(text, 4000)]
+    whole = codec.id_of["▁station"]
+    merges = len(word) - 1
+    assert len(set(made)) > 8 and made[:4000] != made[4000:]
+    share = np.count_nonzero(in_text == whole) / 4000
+    # Skipping one candidate may still lead to the whole word by other merges, so the rate lies above that of no skip at all.
+    assert abs(share - made.count((whole,)) / len(made)) < 0.03 and 0.9**merges - 0.03 < share < 0.9
+
+
+def test_trees_against_a_plain_list(monkeypatch):
+    monkeypatch.setattr(pieces, "NODES_KEPT", 500)
+    monkeypatch.setattr(pieces, "MOST_DRAWN", 12)
+    for dropout in (0.1, 0.5):
+        codec = pieces.Codec(DATA, dropout=dropout)
+        for text in texts(60, [*PARTS, "▁", " word", " thing", "station "] * 2) + [" the thing" * 300, "x" * 300]:
+            units = codec.units.findall(" " + text) if text else []
+            want = []
+            for unit, number in zip(units, codec.occurrences(text, len(units)).tolist()):
+                symbols = naive(codec, unit.replace(" ", pieces.BLANK), number) if unit != pieces.BLANK else [None]
+                for x in symbols:
+                    i = codec.id_of.get(x)
+                    want += [codec.bytes[b] for b in (x or unit).encode()] if i is None else [i]
+            assert codec.encode(text).tolist() == want
+
+
+def test_dropout_of_all():
+    codec = pieces.Codec(DATA, dropout=1.0)
+    assert [codec.text_of[i] for i in codec.encode("the thing").tolist()] == list(" the thing")
