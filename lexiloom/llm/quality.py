@@ -162,7 +162,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return pd.Series([features(x) for x in text])
 
     seen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(some, "id").select("good", "id", F.xxhash64("id").alias("at"), vector("text").alias("x"))
-    rows = sorted(seen.limit(4 * SAMPLE_PER_LABEL).collect(), key=lambda r: (r["at"], r["id"], r["x"]))
+    # One row for each id and label, the same in every order, so that the bound holds however often an id repeats.
+    seen = seen.groupBy("good", "id", "at").agg(F.min("x").alias("x"))
+    rows = sorted(seen.collect(), key=lambda r: (r["at"], r["id"], r["x"]))
     side = lambda good: np.array([r["x"] for r in rows if r["good"] is good]).reshape(-1, len(FEATURES))
     bad_share = share.get(False, 0) / max(sum(share.values()), 1)
     model = fit_pairs(side(True), side(False), bad_share)

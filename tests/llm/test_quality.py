@@ -63,3 +63,14 @@ def test_threshold_against_sorting(spark, monkeypatch):
         at = min(int(np.searchsorted(np.cumsum([weight[g] for g, _ in rows]), share - 1e-9)), len(rows) - 2)
         assert quality.threshold(spark.createDataFrame(z, "good boolean, z double"), share) == (rows[at][1] + rows[at + 1][1]) / 2
     assert quality.threshold(spark.createDataFrame([(True, 1.0)], "good boolean, z double"), 0.5) is None
+
+
+def test_repeated_ids_crowd_nobody_out(spark, monkeypatch):
+    """One id with many rows before all others leaves the fit as it is."""
+    monkeypatch.setattr(quality, "SAMPLE_PER_LABEL", 20)
+    texts = [(1, "good words here")] * 300 + [(2 + i, "good words here" if i % 2 else "SPAM!! SPAM!!") for i in range(60)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    labels = spark.createDataFrame([(1, 1)] + [(2 + i, i % 2) for i in range(60)], "doc_id long, quality int")
+    model = quality.fit(docs, labels)
+    once = quality.fit(docs.dropDuplicates(["doc_id"]), labels)
+    assert model.weights.any() and np.array_equal(model.weights, once.weights)
