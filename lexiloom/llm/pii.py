@@ -28,7 +28,7 @@ PATTERNS = {
     "iban": (None, "", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     "ssn": (None, "", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
 }
-#: Score before and after a context word is found among the characters before the span.
+#: Score without and with a context word among the CONTEXT_CHARS characters before or after the span.
 SCORES = {"email": (0.9, 0.95), "ip": (0.6, 0.8), "card": (0.7, 0.95), "phone": (0.7, 0.9), "iban": (0.8, 0.95), "ssn": (0.3, 0.8)}
 CONTEXT = {
     "email": "mail|contact|kontakt|correo",
@@ -120,7 +120,8 @@ def spans(text: Column, kind: str, parts: Column) -> Column:
     def scored(x: Column) -> Column:
         start = x["start"]
         before = F.lower(F.substr(text, F.greatest(start - CONTEXT_CHARS, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT_CHARS))))
-        score = F.when(before.rlike(CONTEXT[kind]), F.lit(near)).otherwise(F.lit(plain))
+        after = F.lower(F.substr(text, start + F.length(x["match"]) + 1, F.lit(CONTEXT_CHARS)))
+        score = F.when(before.rlike(CONTEXT[kind]) | after.rlike(CONTEXT[kind]), F.lit(near)).otherwise(F.lit(plain))
         return F.struct(start.alias("start"), F.lit(at).alias("kind_no"), (start + F.length(x["match"])).alias("stop"), F.lit(kind).alias("kind"), score.alias("score"))
 
     found = F.transform(F.filter(_located(parts), lambda x: confirmed(kind, x["match"])), scored)

@@ -67,6 +67,13 @@ def test_redact_keeps_columns_and_clean_rows(spark):
     assert pii.redact(docs.limit(0)).collect() == []
 
 
+def test_context_after_the_span(spark):
+    texts = ["123-45-6789 (SSN)", "123-45-6789 " + "x" * 60 + " ssn", "no label: 123-45-6789"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.spans for r in sorted(pii.report(docs).collect(), key=lambda r: r.doc_id)] == ["ssn:0:11", "", ""]
+    assert pii.redact(docs.where("doc_id = 0")).first().text == "<SSN> (SSN)"
+
+
 @pytest.mark.parametrize("number,good", [("4539578763621486", True), ("4539578763621487", False)])
 def test_luhn(spark, number, good):
     from pyspark.sql import functions as F
