@@ -38,10 +38,8 @@ def without_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds the piece ids of each text, their number, and whether decoding them gives the text back."""
-    path = public_tokenizers.path(MODEL)
-    both = pieces.decode(pieces.encode(docs, path), path, into="_decoded")
-    return both.withColumn("n_pieces", F.greatest(F.size("pieces"), F.lit(0)).cast("long")).withColumn("lossless", F.col("_decoded").eqNullSafe(F.col("text"))).drop("_decoded")
+    """Adds ``pieces``, the piece ids of each text, ``n_pieces``, and ``lossless``, whether decoding them gives the text back; columns of these names are replaced."""
+    return pieces.round_trip(docs, public_tokenizers.path(MODEL))
 
 
 STAGES = [

@@ -6,11 +6,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Where checkpoints go when the session names no folder (tests on one machine).
+#: Where checkpoints go when a session on one machine names no folder (tests).
 LOCAL_CHECKPOINTS = "/tmp/checkpoints/lexiloom"
-#: Rows in an Arrow batch. Texts may be long, so batches are kept short; within a batch the
+#: Rows and bytes in an Arrow batch. Texts may be long, so batches are kept short; within a batch the
 #: operators also work by bytes (see ``slices``).
-BATCH_ROWS = 256
+BATCH_ROWS, BATCH_BYTES = 256, 4 << 20
 #: Bytes of text that an operator works on at once.
 SLICE_BYTES = 1 << 20
 
@@ -23,11 +23,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Short Arrow batches, and a checkpoint folder that driver and executors share."""
+    """Short Arrow batches, and a checkpoint folder that driver and executors share; without one, an error unless all runs on one machine."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", LOCAL_CHECKPOINTS))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if folder is None:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            folder = LOCAL_CHECKPOINTS
+        context.setCheckpointDir(folder)
     return spark
 
 
@@ -43,6 +49,22 @@ def small(df: DataFrame, size: Column | int) -> DataFrame:
     return F.broadcast(df) if total <= BROADCAST_BYTES else df
 
 
+def quoted(name: str) -> str:
+    """A column's name as an expression, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of ``df`` has, in any case of letters, for working columns."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -26,8 +26,12 @@ from .components import components
 BANDS, ROWS = 32, 4
 #: Bounds of a block around a centre: bytes of differences, and nodes; and the columns of a matrix product.
 BLOCK_BYTES, BLOCK_NODES, COLUMNS = 1 << 19, 1024, 2048
+#: Children of one parent that are compared under one key.
+CHILDREN_PER_KEY = 256
 PERCENT = 80
 WORDS_KEPT = 150_000
+#: Characters of text that are sketched at once: the orders of their elements take a row of slots each.
+CHARS_AT_ONCE = 1 << 18
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 LAST = 2**63 - 1  # stands for a null id, after all others
 
@@ -121,7 +125,7 @@ def sketch(docs: DataFrame, k: int, bands: int = BANDS, rows: int = ROWS) -> Dat
         shingler = Shingler(k)
         for b in batches:
             ids, hashes, texts = b["rid"].to_numpy(), b["h"].to_numpy(), b["text"].tolist()
-            for start, end in slices(texts):
+            for start, end in slices(texts, CHARS_AT_ONCE):
                 sets = [shingler.set(t) for t in texts[start:end]]
                 keys = band_keys(superminhash(sets, bands * rows), bands, rows)
                 yield pd.DataFrame({
@@ -148,7 +152,10 @@ def full_sets(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(child, parent, linked, n, diff): whether the pair is linked, the child's size and its symmetric difference with the parent."""
+    """(child, parent, linked, n, diff): whether the pair is linked, the child's size and its symmetric difference with the parent.
+
+    The children of a parent that has many are dealt over several keys, and its set goes to each of them.
+    """
 
     @F.pandas_udf("struct<linked:boolean,n:long,diff:binary>")
     def compare(a: pd.Series, b: pd.Series) -> pd.DataFrame:
@@ -159,9 +166,12 @@ def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             out.append((_linked(len(x) + len(y), len(diff), percent), len(x), diff.tobytes()))
         return pd.DataFrame(out, columns=["linked", "n", "diff"])
 
+    many = pairs.groupBy("parent").agg(F.ceil(F.count("*") / CHILDREN_PER_KEY).cast("int").alias("keys"))
+    keyed = pairs.join(many, "parent").select("child", "parent", F.pmod(F.hash("child"), F.col("keys")).alias("key"))
     left = sets.select(F.col("node").alias("child"), F.col("members").alias("a"))
-    right = sets.select(F.col("node").alias("parent"), F.col("members").alias("b"))
-    return pairs.join(left, "child").join(right, "parent").select("child", "parent", compare("a", "b").alias("c")).select("child", "parent", "c.*")
+    right = many.join(sets.select(F.col("node").alias("parent"), F.col("members").alias("b")), "parent")
+    right = right.select("parent", F.explode(F.sequence(F.lit(0), F.col("keys") - 1)).alias("key"), "b")
+    return keyed.join(left, "child").join(right, ["parent", "key"]).select("child", "parent", compare("a", "b").alias("c")).select("child", "parent", "c.*")
 
 
 def _linked(sizes, diff, percent: int):

@@ -10,17 +10,17 @@ never crosses the cuts made there, and the units in between are encoded apart. A
 in the text, so each one is segmented by draws of its own, the same ones on every run. What is kept of a unit is a tree: its
 segmentation without skips beside the candidates that come up on the way, and below it, by the first one that is skipped, the segmentation and
 further candidates from there on. An occurrence draws for the candidates of a node, all occurrences of a slice at once, and goes
-down at its first skip. Nodes are made when they are needed a second time; the first time the occurrence is merged by itself.
+down at its first skip. Nodes are made when they are needed a second time; the first time the occurrence is merged by itself. All trees
+lie in a few flat arrays of bounded size, so going down is array work too.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import re
 from bisect import bisect_right
 from heapq import heapify, heappop, heappush
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -28,23 +28,101 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, prepare, slices
+from .common import mix64, prepare, quoted, slices, unused
 
 BLANK = "▁"
 DROPOUT = 0.1
 SEED = 20
-#: Nodes of units' trees kept in each of two generations.
-NODES_KEPT = 150_000
+#: Nodes and units kept, at some 100 to 200 bytes each; beyond them all are forgotten and made again when met.
+NODES_KEPT = 300_000
 #: Most characters of a unit that has a tree, and the most candidates that its paths tell apart; beyond them each occurrence is merged by itself.
 SHORT_UNIT, MOST_DRAWN = 40, 64
 TOGETHER = 4096
 FULL, NEVER = (1 << 64) - 1, 1 << 30
 BASE = 0x9E3779B97F4A7C15
-#: Instead of a root: of a unit that has no tree, and of one met once.
-ALONE, MET = ([None, b"", None, 0, 1] for _ in range(2))
+#: Links that lead to no node: not met yet, met once, and of what has no tree.
+NEW, MET, ALONE = 0, -1, -2
+#: Characters, and units of a long text, that are encoded at once.
+CHARS_AT_ONCE, UNITS_AT_ONCE = 1 << 18, 1 << 16
 OF_OCCURRENCE, OF_SEED, OF_PLACE, OF_RANK = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
 
+class _Grown:
+    """An array that grows."""
+
+    def __init__(self, dtype):
+        self.data, self.n = np.zeros(1024, dtype), 0
+
+    def put(self, values: np.ndarray) -> int:
+        """Writes behind the end, without keeping; where it starts."""
+        if self.n + len(values) > len(self.data):
+            self.data = np.concatenate([self.data[: self.n], np.zeros(max(len(values), len(self.data) // 2), self.data.dtype)])
+        self.data[self.n : self.n + len(values)] = values
+        return self.n
+
+    def add(self, values: np.ndarray) -> int:
+        start = self.put(values)
+        self.n += len(values)
+        return start
+
+
+class _Numbers(dict):
+    """Numbers of units in the order in which they are met; ``new`` has the links of those without a place among the roots yet."""
+
+    def __init__(self):
+        self.new: list[int] = []
+
+    def __missing__(self, unit: str) -> int:
+        self.new.append(NEW if len(unit) <= SHORT_UNIT else ALONE)
+        self[unit] = n = len(self)
+        return n
+
+
+def _gathered(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The stretches of ``pool`` one after the other."""
+    return pool[_places(starts, sizes)]
+
+
+def _places(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+class Trees:
+    """The trees of units, node by node: piece ids, drawn parts of the candidates' keys, a link for each candidate to the node where it is skipped, the mask
+    of the candidates skipped above, and the depth, how many candidates lie above. Links and ``roots`` hold numbers of nodes from 1, or NEW, MET or ALONE."""
+
+    def __init__(self):
+        self.units = _Numbers()
+        self.roots, self.links, self.ids = _Grown(np.int32), _Grown(np.int32), _Grown(np.int32)
+        self.draws, self.mask = _Grown(np.uint64), _Grown(np.uint64)
+        self.ids_at, self.n_ids, self.draws_at, self.n_draws, self.depth = (_Grown(np.int64) for _ in range(5))
+        nothing = np.zeros(1, np.int64)
+        self.add(nothing[:0], nothing, nothing[:0], nothing, nothing, nothing)
+
+    def add(self, ids: np.ndarray, n_ids: np.ndarray, draws: np.ndarray, n_draws: np.ndarray, masks: np.ndarray, depths: np.ndarray) -> np.ndarray:
+        """The numbers of new nodes, whose ids and draws come one after the other."""
+        first = self.n_ids.add(n_ids)
+        self.ids_at.add(self.ids.add(ids) + np.cumsum(n_ids) - n_ids)
+        self.n_draws.add(n_draws)
+        self.draws_at.add(self.draws.add(draws) + np.cumsum(n_draws) - n_draws)
+        self.links.add(np.zeros(len(draws), np.int32))
+        self.mask.add(masks)
+        self.depth.add(depths)
+        return np.arange(first, first + len(n_ids), dtype=np.int32)
+
+    def number(self, units: list[str]) -> np.ndarray:
+        """The places of the units among the roots."""
+        of = np.fromiter(map(self.units.__getitem__, units), np.int64, len(units))
+        if self.units.new:
+            self.roots.add(np.array(self.units.new, np.int32))
+            self.units.new = []
+        return of
+
+    def size(self) -> int:
+        return self.n_ids.n + len(self.units)
+
+
 class Codec:
     """The vocabulary of a byte-fallback BPE model, with encoding and decoding."""
 
@@ -81,11 +159,7 @@ class Codec:
         self.of_char = np.full(0x110000, -1, np.int32)
         for c in {c for p in longer for c in p}:
             self.of_char[ord(c)] = self.id_of.get(c, -1)
-        #: A unit's tree; two generations. A node is [ids, draws, children, mask of the skipped candidates]: piece ids of four bytes, the drawn parts of
-        #: its candidates' keys of eight, and nodes by the place of the skipped candidate in ``draws``, False if met once. A root has the tree's size too.
-        self.kept: dict[str, list] = {}
-        self.kept_before: dict[str, list] = {}
-        self.nodes = 0
+        self.trees = Trees()
 
     def key(self, unit: str, occurrence: int) -> int:
         """A polynomial of the characters, so that it can be had for many units at once."""
@@ -160,10 +234,11 @@ class Codec:
         at = np.searchsorted(self.pair_keys, key)
         return np.where((left >= 0) & (right >= 0) & (self.pair_keys[at] == key), self.pair_ranks[at], np.int32(NEVER))
 
-    def _together(self, units: list[str], masks: list[int] | None, base: np.ndarray | None = None) -> list[tuple[bytes, bytes] | None]:
-        """For many short units in step, one agenda entry of each at a time: the piece ids if the candidates in the mask are skipped, and the drawn
-        parts of the candidates after the last of these; None where a character has no piece. Without masks skips are drawn, with ``base``
-        the keys without the unit's part."""
+    def _together(self, units: list[str], masks: np.ndarray | None, base: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+        """For many short units in step, one agenda entry of each at a time: (piece ids, their numbers by unit, drawn parts, their numbers by unit, covered).
+
+        The ids are those if the candidates in the mask are skipped, and the drawn parts those of the candidates after the last of these. Without masks
+        skips are drawn, with ``base`` the keys without the unit's part. Units with a character that has no piece aren't covered and have nothing."""
         n, sizes = len(units), np.array([len(u) for u in units])
         width = int(sizes.max()) + 1
         chars = np.frombuffer("".join(units).replace(" ", BLANK).encode("utf-32-le"), np.uint32)
@@ -180,9 +255,11 @@ class Codec:
         keys = (points * powers).sum(1, dtype=np.uint64)
         after, before = (np.tile(np.arange(width, dtype=np.int64) + d, (n, 1)) for d in (1, -1))
         s, nxt, prv, todo = symbol.ravel(), after.ravel(), before.ravel(), agenda.ravel()
-        rows, left_to_skip = np.arange(n), None if masks is None else np.array(masks, np.uint64)
+        rows, left_to_skip = np.arange(n), masks
         if masks is None:
             keys += base
+        else:
+            left_to_skip = masks.copy()
         met: list[np.ndarray] = [np.zeros(0, np.int64)]
         draws: list[np.ndarray] = [np.zeros(0, np.uint64)]
         while len(rows):
@@ -216,13 +293,10 @@ class Codec:
             has = prv[at] >= 0
             left = (base + prv[at])[has]
             todo[left] = self._ranks(s[left], s[at[has]])
+        symbol[~covered] = -1
         of = np.concatenate(met)
-        drawn, stops = np.concatenate(draws)[np.argsort(of, kind="stable")].tobytes(), (8 * np.cumsum(np.bincount(of, minlength=n))).tolist()
-        ids, ends = s[s >= 0].astype("<i4").tobytes(), (4 * np.cumsum((symbol >= 0).sum(1))).tolist()
-        out: list[tuple[bytes, bytes] | None] = [(ids[a:b], drawn[c:d]) for a, b, c, d in zip([0, *ends], ends, [0, *stops], stops)]
-        for i in np.flatnonzero(~covered).tolist():
-            out[i] = None
-        return out
+        drawn = np.concatenate(draws)[np.argsort(of, kind="stable")]
+        return s[s >= 0].astype(np.int32), (symbol >= 0).sum(1), drawn, np.bincount(of, minlength=n), covered
 
     def _skips(self, drawn: np.ndarray) -> np.ndarray:
         """``skipped`` for many candidates."""
@@ -232,128 +306,124 @@ class Codec:
         x = (x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
         return (x ^ (x >> np.uint64(31))) <= np.uint64(self.bar - 1)
 
-    def _alone(self, units: list[str], numbers: np.ndarray, base: np.ndarray) -> list[bytes]:
-        """``spelt`` for each unit and number, without trees."""
+    def _alone(self, units: list[str], numbers: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(piece ids one after the other, their numbers) of ``spelt`` for each unit and number, without trees."""
         order = sorted(range(len(units)), key=lambda i: len(units[i]))
-        out: list[bytes | None] = [None] * len(units)
         first, last = (bisect_right(order, size, key=lambda i: len(units[i])) for size in (1, SHORT_UNIT))
+        found, sizes, plain = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [*order[:first], *order[last:]]
+        done: list[int] = []
         for i in range(first, last, TOGETHER):
             some = order[i : min(i + TOGETHER, last)]
-            for at, made in zip(some, self._together([units[j] for j in some], None, base[some])):
-                out[at] = made and made[0]
-        return [np.array(self.spelt(u, int(v)), "<i4").tobytes() if x is None else x for x, u, v in zip(out, units, numbers)]
-
-    def _grow(self, new: list[tuple[str, int, list]]) -> None:
-        """Fills new nodes (unit, mask of the skipped candidates, node). One that can't be kept so gets no draws, and no ids if they depend on the occurrence."""
-        new.sort(key=lambda x: len(x[0]))
-        first = bisect_right(new, 1, key=lambda x: len(x[0]))
-        for unit, _, node in new[:first]:
-            node[:2] = np.array(self.spelt(unit, 0), "<i4").tobytes(), b""
-        for i in range(first, len(new), TOGETHER):
-            some = new[i : i + TOGETHER]
-            for (_, _, node), made in zip(some, self._together([x[0] for x in some], [x[1] for x in some])):
-                node[:2] = made or (None, b"")
-        self.nodes += len(new)
-
-    def _roots(self, units: list[str]) -> list[list]:
-        found = list(map(self.kept.get, units))
-        new, kept, before = [], self.kept, self.kept_before
-        for i in [i for i, root in enumerate(found) if root is None or root is MET]:
-            unit = units[i]
-            if len(unit) > SHORT_UNIT:
-                found[i] = ALONE
-                continue
-            root = kept.get(unit)
-            if root is None and (root := before.get(unit)) is not None:
-                self.nodes += root[4]
-            if root is None:
-                root = MET
-                self.nodes += 1
-                kept[unit] = root
-            elif root is MET:
-                root = [None, b"", None, 0, 1]
-                new.append((unit, 0, root))
-            kept[unit] = found[i] = root
-        self._grow(new)
-        return found
-
-    def spell(self, units: list[str], occurrences) -> list[bytes]:
-        """The piece ids of units, four bytes each: ``spelt`` for each unit and the number of its occurrence (one for all, or an array)."""
-        roots = self._roots(units)
-        out = [root[0] for root in roots]
-        numbers = np.broadcast_to(np.asarray(occurrences, np.uint64), len(units))
+            ids, n_ids, _, _, covered = self._together([units[j] for j in some], None, base[some])
+            found.append(ids)
+            sizes.append(n_ids[covered])
+            done += [j for j, c in zip(some, covered.tolist()) if c]
+            plain += [j for j, c in zip(some, covered.tolist()) if not c]
+        made = [self.spelt(units[j], int(numbers[j])) for j in plain]
+        found.append(np.array(list(chain.from_iterable(made)), np.int32))
+        sizes.append(np.array(list(map(len, made)), np.int64))
+        n = np.concatenate(sizes)
+        back = np.argsort(np.array(done + plain, np.int64))
+        return _gathered(np.concatenate(found), (np.cumsum(n) - n)[back], n[back]), n[back]
+
+    def _grow(self, units: list[str], masks: np.ndarray, depths: np.ndarray) -> np.ndarray:
+        """The numbers of new nodes for units whose candidates in the mask are skipped, ALONE for those that can't be kept so."""
+        out = np.full(len(units), ALONE, np.int32)
+        order = sorted(range(len(units)), key=lambda i: len(units[i]))
+        first = bisect_right(order, 1, key=lambda i: len(units[i]))
+        if first:  # one character is merged with nothing
+            made = [self.spelt(units[i], 0) for i in order[:first]]
+            sizes, none = np.array(list(map(len, made))), np.zeros(first, np.int64)
+            out[order[:first]] = self.trees.add(np.array(list(chain.from_iterable(made)), np.int32), sizes, np.zeros(0, np.uint64), none, none.astype(np.uint64), none)
+        for i in range(first, len(order), TOGETHER):
+            some = np.array(order[i : i + TOGETHER])
+            ids, n_ids, drawn, n_drawn, covered = self._together([units[j] for j in some], masks[some])
+            out[some[covered]] = self.trees.add(ids, n_ids[covered], drawn, n_drawn[covered], masks[some][covered], depths[some][covered])
+        return out
+
+    def _follow(self, links: _Grown, slots: np.ndarray, units: list[str], who: np.ndarray, masks: np.ndarray, depths: np.ndarray) -> np.ndarray:
+        """The nodes at the slots; 0 or less for occurrences that are merged by themselves. A slot that is met for the second time gets its node."""
+        state = links.data[slots]
+        open_ = np.flatnonzero((state == NEW) | (state == MET))
+        if len(open_):
+            kinds, first, of, times = np.unique(slots[open_], return_index=True, return_inverse=True, return_counts=True)
+            source = open_[first]
+            value = np.where(depths[source] > MOST_DRAWN, ALONE, MET).astype(np.int32)
+            grows = (value == MET) & ((times > 1) | (state[source] == MET))
+            source = source[grows]
+            value[grows] = self._grow([units[i] for i in who[source].tolist()], masks[source], depths[source])
+            links.data[kinds] = value  # after growing, which may have moved the links
+            state[open_] = value[of]
+        return state
+
+    def spell(self, units: list[str], occurrences) -> tuple[np.ndarray, np.ndarray]:
+        """(piece ids one after the other, their numbers): ``spelt`` for each unit and the number of its occurrence (one for all, or an array)."""
+        n, trees = len(units), self.trees
+        numbers = np.broadcast_to(np.asarray(occurrences, np.uint64), n)
         base = numbers * np.uint64(OF_OCCURRENCE) + np.uint64(self.seed * OF_SEED & FULL)
-        alone = [i for i, ids in enumerate(out) if ids is None] if None in out else []
-        at, nodes = np.arange(len(units)), roots
-        while self.bar and len(at):
-            parts = [node[1] for node in nodes]
-            sizes = np.fromiter(map(len, parts), np.int64, len(parts)) >> 3
-            hits = np.flatnonzero(self._skips(np.repeat(base[at], sizes) + np.frombuffer(b"".join(parts), np.uint64)))
-            ends = np.cumsum(sizes)
+        final, who, none = np.full(n, ALONE, np.int32), np.arange(n), np.zeros(n, np.int64)
+        node = self._follow(trees.roots, trees.number(units), units, who, none.astype(np.uint64), none)
+        while len(who):
+            final[who] = node
+            has = node > 0
+            who, node = who[has], node[has]
+            if not self.bar or not len(who):
+                break
+            sizes, starts = trees.n_draws.data[node], trees.draws_at.data[node]
+            place, ends = _places(starts, sizes), np.cumsum(sizes)
+            hits = np.flatnonzero(self._skips(np.repeat(base[who], sizes) + trees.draws.data[place]))
             of = np.searchsorted(ends, hits, "right")
             first = np.append(True, of[1:] != of[:-1])[: len(of)]
-            of = of[first]
-            skips = (hits[first] - (ends - sizes)[of]).tolist()
-            below, places, new = [], [], []
-            for i, j, occurrence in zip(of.tolist(), skips, at[of].tolist()):
-                node = nodes[i]
-                child = node[2].get(j) if node[2] else None
-                if child:
-                    out[occurrence] = child[0]
-                    if child[1] or child[0] is None:  # None: made in this round
-                        below.append(child)
-                        places.append(occurrence)
-                    continue
-                drawn = node[3].bit_length() + j
-                if child is None or drawn >= MOST_DRAWN:
-                    if node[2] is None:
-                        node[2] = {}
-                    node[2][j] = False
-                    alone.append(occurrence)
-                    continue
-                mask = node[3] | 1 << drawn
-                child = node[2][j] = [None, b"", None, mask]
-                roots[occurrence][4] += 1
-                new.append((units[occurrence], mask, child))
-                below.append(child)
-                places.append(occurrence)
-            if new:
-                self._grow(new)
-                for occurrence, node in zip(places, below):
-                    out[occurrence] = node[0]
-            at, nodes = np.array(places, np.int64), below
-        if alone:
-            for i, ids in zip(alone, self._alone([units[i] for i in alone], numbers[alone], base[alone])):
-                out[i] = ids
-        if self.nodes > NODES_KEPT:
-            self.kept_before, self.kept, self.nodes = self.kept, {}, 0
-        return out
-
-    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        """Piece ids of whole texts; none for an empty one. What it makes has no cycles, so the collector needn't look through the kept units."""
-        collecting = gc.isenabled()
-        gc.disable()
-        try:
-            return self._encode_all(texts)
-        finally:
-            if collecting:
-                gc.enable()
+            of, slots = of[first], place[hits[first]]
+            above = node[of]
+            drawn = trees.depth.data[above] + slots - trees.draws_at.data[above]
+            masks = trees.mask.data[above] | np.uint64(1) << np.minimum(drawn, 63).astype(np.uint64)
+            who = who[of]
+            node = self._follow(trees.links, slots, units, who, masks, drawn + 1)
+        kept, sizes, starts = final > 0, np.zeros(n, np.int64), np.zeros(n, np.int64)
+        sizes[kept], starts[kept] = trees.n_ids.data[final[kept]], trees.ids_at.data[final[kept]]
+        alone = np.flatnonzero(~kept)
+        if len(alone):
+            ids, own = self._alone([units[i] for i in alone.tolist()], numbers[alone], base[alone])
+            sizes[alone], starts[alone] = own, trees.ids.put(ids) + np.cumsum(own) - own
+        out = _gathered(trees.ids.data, starts, sizes)
+        if trees.size() > NODES_KEPT:
+            self.trees = Trees()
+        return out, sizes
 
     def occurrences(self, text: str, n: int) -> np.ndarray:
         """The numbers of the occurrences of a text's units, by which they draw."""
         key = np.uint64(xxhash.xxh3_64_intdigest(text, seed=self.seed))
         return mix64(key + np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
-    def _encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        units, numbers, ends = [], [np.zeros(0, np.uint64)], []
-        for text in texts:
-            start = len(units)
-            if text:
-                units += self.units.findall(" " + text)
-                numbers.append(self.occurrences(text, len(units) - start))
-            ends.append(len(units))
-        ids = self.spell(units, np.concatenate(numbers))
-        return [np.frombuffer(b"".join(ids[a:b]), "<i4") for a, b in zip([0, *ends], ends)]
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """Piece ids of whole texts; none for an empty one."""
+        out: list[np.ndarray] = []
+        for start, end in slices(texts, CHARS_AT_ONCE):
+            if end - start == 1 and len(texts[start]) > CHARS_AT_ONCE:
+                out.append(self._encode_long(texts[start]))
+                continue
+            units, numbers, ends = [], [np.zeros(0, np.uint64)], [0]
+            for text in texts[start:end]:
+                before = len(units)
+                if text:
+                    units += self.units.findall(" " + text)
+                    numbers.append(self.occurrences(text, len(units) - before))
+                ends.append(len(units))
+            ids, sizes = self.spell(units, np.concatenate(numbers))
+            stops = np.append(0, np.cumsum(sizes))[ends].tolist()
+            out += [ids[a:b] for a, b in zip(stops, stops[1:])]
+        return out
+
+    def _encode_long(self, text: str) -> np.ndarray:
+        """The same for one text, whose units are taken by blocks."""
+        found = self.units.finditer(" " + text)
+        key, done, out = np.uint64(xxhash.xxh3_64_intdigest(text, seed=self.seed)), 0, []
+        while block := [m.group() for m in islice(found, UNITS_AT_ONCE)]:
+            numbers = np.arange(done, done + len(block), dtype=np.uint64)
+            out.append(self.spell(block, mix64(key + numbers * np.uint64(0x9E3779B97F4A7C15)))[0])
+            done += len(block)
+        return np.concatenate(out)
 
     def encode(self, text: str) -> np.ndarray:
         return self.encode_all([text])[0]
@@ -392,16 +462,15 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", into: str =
 
     @F.pandas_udf("array<int>")
     def pieces(text: pd.Series) -> pd.Series:
-        own = codec(data.value, dropout, seed)
         texts = text.tolist()
-        ids = [x for a, b in slices(texts) for x in own.encode_all([t or "" for t in texts[a:b]])]
+        ids = codec(data.value, dropout, seed).encode_all([t or "" for t in texts])
         return pd.Series([None if t is None else x for t, x in zip(texts, ids)], dtype=object)
 
     return docs.withColumn(into, pieces(F.col(text_col).cast("string")))
 
 
 def decode(pieces: DataFrame, model_path: str, pieces_col: str = "pieces", into: str = "decoded") -> DataFrame:
-    """``pieces`` with the text that the ids spell; null for null."""
+    """``pieces`` with the text that the ids spell; null for null. A column named as ``into`` is replaced, all others are kept."""
     data = _model(pieces, model_path)
 
     @F.pandas_udf("string")
@@ -412,6 +481,26 @@ def decode(pieces: DataFrame, model_path: str, pieces_col: str = "pieces", into:
     return pieces.withColumn(into, text(F.col(pieces_col)))
 
 
+def round_trip(docs: DataFrame, model_path: str, text_col: str = "text", dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
+    """``docs`` with ``pieces``, as ``encode`` gives them, ``n_pieces`` and ``lossless``, whether decoding the ids gives the text back: both ways in one pass.
+
+    A null text has null pieces, 0 of them, and comes back. All rows and columns are kept, but for columns of these three names, which are replaced.
+    """
+    data = _model(docs, model_path)
+    made = ["pieces", "n_pieces", "lossless"]
+
+    @F.pandas_udf("pieces array<int>, n_pieces long, lossless boolean")
+    def both(text: pd.Series) -> pd.DataFrame:
+        texts, own = text.tolist(), codec(data.value, dropout, seed)
+        ids = own.encode_all([t or "" for t in texts])
+        back = [t is None or own.decode(x) == t for t, x in zip(texts, ids)]
+        return pd.DataFrame({"pieces": pd.Series([None if t is None else x for t, x in zip(texts, ids)], dtype=object), "n_pieces": list(map(len, ids)), "lossless": back}, columns=made)
+
+    (whole,) = unused(docs, "both")
+    kept = [F.col(quoted(c)) for c in docs.columns if c.lower() not in made]
+    return docs.withColumn(whole, both(F.col(quoted(text_col)).cast("string"))).select(*kept, *[F.col(f"{quoted(whole)}.{c}") for c in made])
+
+
 def digest(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document row: id, n_chars, n_pieces, pieces_sha256 (of the ids as four bytes each, the lowest first), decoded_sha256, lossless.
 
@@ -425,15 +514,13 @@ def digest(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     def run(batches):
         both = codec(data.value)
         for b in batches:
-            doc_ids, texts = b["id"].tolist(), b["text"].tolist()
-            for start, end in slices(texts):
-                rows = []
-                for text, ids in zip(texts[start:end], both.encode_all(texts[start:end])):
-                    decoded = both.decode(ids)
-                    rows.append((len(text), len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), decoded == text))
-                out = pd.DataFrame(rows, columns=["n_chars", "n_pieces", "pieces_sha256", "decoded_sha256", "lossless"])
-                out.insert(0, "id", pd.Series(doc_ids[start:end], dtype=object))
-                yield out
+            rows, texts = [], b["text"].tolist()
+            for text, ids in zip(texts, both.encode_all(texts)):
+                decoded = both.decode(ids)
+                rows.append((len(text), len(ids), hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), decoded == text))
+            out = pd.DataFrame(rows, columns=["n_chars", "n_pieces", "pieces_sha256", "decoded_sha256", "lossless"])
+            out.insert(0, "id", pd.Series(b["id"].tolist(), dtype=object))
+            yield out
 
     done = own.mapInPandas(run, "id string, n_chars long, n_pieces long, pieces_sha256 string, decoded_sha256 string, lossless boolean")
     return done.select(F.col("id").cast(id_type).alias(id_col), *done.columns[1:])

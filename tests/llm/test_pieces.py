@@ -118,3 +118,35 @@ def test_trees_against_a_plain_list(monkeypatch):
 def test_dropout_of_all():
     codec = pieces.Codec(DATA, dropout=1.0)
     assert [codec.text_of[i] for i in codec.encode("the thing").tolist()] == list(" the thing")
+
+
+def test_long_texts_by_blocks(monkeypatch):
+    whole = pieces.Codec(DATA)
+    text = "".join(texts(400, [*PARTS, "station "]))
+    want = whole.encode(text).tolist()
+    monkeypatch.setattr(pieces, "CHARS_AT_ONCE", 1000)
+    monkeypatch.setattr(pieces, "UNITS_AT_ONCE", 37)
+    some = [text, "", text[:900], "the thing", text]
+    assert [x.tolist() for x in pieces.Codec(DATA).encode_all(some)] == [want, [], whole.encode(text[:900]).tolist(), whole.encode("the thing").tolist(), want]
+
+
+def test_what_is_kept_is_bounded(monkeypatch):
+    """However many different units come, the trees stay within their bound and those of one slice."""
+    monkeypatch.setattr(pieces, "NODES_KEPT", 2000)
+    codec, rng = pieces.Codec(DATA), random.Random(1)
+    for _ in range(30):
+        codec.encode(" ".join("".join(rng.choice("etaoinshr") for _ in range(6)) for _ in range(500)))
+        assert codec.trees.size() <= 2000
+
+
+def test_round_trip(spark):
+    rows = [(i, t, 0, 1, 2) for i, t in enumerate(texts(30))] + [(100, None, 0, 1, 2), (101, "", 0, 1, 2), (103, "twice", 0, 1, 2), (103, "twice", 0, 1, 2), (None, "n", 0, 1, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `both` int, Pieces int, `a.b` int")
+    done = pieces.round_trip(docs, PATH)
+    assert done.columns == ["doc_id", "text", "both", "a.b", "pieces", "n_pieces", "lossless"]
+    codec, got = pieces.Codec(DATA), done.collect()
+    assert len(got) == len(rows)
+    for r in got:
+        want = None if r.text is None else codec.encode(r.text).tolist()
+        assert (r.pieces, r.n_pieces, r.lossless, r["both"], r["a.b"]) == (want, len(want or []), True, 0, 2)
+    assert pieces.round_trip(docs.limit(0), PATH).collect() == []
