@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import prepare
 
 CHUNK = 1 << 15
-#: Words are kept in two generations, states in one.
+#: Words are kept in two generations, states in one: beyond the bound all are forgotten, within a text too, and made again when met.
 WORDS_KEPT, STATES_KEPT = 200_000, 150_000
 #: Characters that the splitter's pattern lists.
 MET = 1500
@@ -167,15 +167,29 @@ class Machine:
         move = self.merge_moves[state].get(symbol)
         if move is None:
             after, n = self.automaton.step(self.merge_states[state], symbol)
-            if len(symbol) > 1:  # a word's end: nothing follows
-                at = 0
-            elif (at := self.merge_ids.get(after)) is None:
-                at = self.merge_ids[after] = len(self.merge_states)
-                self.merge_states.append(after)
-                self.merge_moves.append({})
+            at = 0 if len(symbol) > 1 else self._merge_id(after)  # a word's end: nothing follows
             move = self.merge_moves[state][symbol] = (at, n)
         return move
 
+    def _merge_id(self, state: tuple) -> int:
+        if (at := self.merge_ids.get(state)) is None:
+            at = self.merge_ids[state] = len(self.merge_states)
+            self.merge_states.append(state)
+            self.merge_moves.append({})
+        return at
+
+    def _full(self) -> bool:
+        return len(self.states) + len(self.merge_states) > STATES_KEPT
+
+    def _left(self, at: int) -> tuple:
+        """A state by its content, which outlives its number."""
+        lex, merging, waiting = self.states[at]
+        return lex, self.merge_states[merging], waiting
+
+    def _entered(self, left: tuple) -> int:
+        lex, merging, waiting = left
+        return self._id((lex, self._merge_id(merging), waiting))
+
     def _piece(self, piece: str) -> int:
         """The tokens of one piece of the splitter."""
         symbols = piece if piece.isalpha() and piece.isascii() else [self.of_byte[b] for b in piece.encode()]
@@ -245,6 +259,10 @@ class Machine:
             if move is None:
                 after, n = self._step(self.states[at], ch)
                 move = self.moves[at][ch] = (self._id(after), n)
+                if self._full():
+                    left = self._left(move[0])
+                    self._clear()
+                    move = (self._entered(left), n)
             at, n = move
             total += n
         return at, total
@@ -284,26 +302,29 @@ class Machine:
         return True
 
     def chunk_map(self, chunk: str) -> tuple:
-        """(characters before the first blank, whether there is one, tokens after it, state at the end)."""
+        """(characters before the first blank, whether there is one, tokens after it, state at the end by its content)."""
+        if self._full():
+            self._clear()
         head, blank, after = chunk.partition(" ")
         if not blank:
-            return head, False, 0, self.rest
+            return head, False, 0, self._left(self.rest)
         words = after.split(" ")
         tail = words.pop()
         at, n = self.run(self.rest, tail)
+        end = self._left(at)
         known = self.words.get
         counts = [known(w) for w in words]
         if None in counts:
             counts = [self.word(w) if c is None else c for w, c in zip(words, counts)]
         n += sum(counts)
-        return head, True, n, at
+        return head, True, n, end
 
     def compose(self, a: tuple, b: tuple) -> tuple:
         """The map of two neighbours; associative."""
         if not a[1]:
             return a[0] + b[0], *b[1:]
-        at, n = self.run(a[3], b[0])
-        return (a[0], True, a[2] + n + self.close(at) + b[2], b[3]) if b[1] else (a[0], True, a[2] + n, at)
+        at, n = self.run(self._entered(a[3]), b[0])
+        return (a[0], True, a[2] + n + self.close(at) + b[2], b[3]) if b[1] else (a[0], True, a[2] + n, self._left(at))
 
     def normal(self, text: str) -> str:
         """As the library has it: composed, blanks single, lower case. ASCII needs only the last; runs of blanks do no harm."""
@@ -311,8 +332,6 @@ class Machine:
 
     def count(self, text: str, chunk: int = CHUNK) -> int:
         """Tokens of a whole text; strings of special tokens in it are one token each."""
-        if len(self.states) + len(self.merge_states) > STATES_KEPT:
-            self._clear()
         segments = self.special.split(text)
         total = len(segments) - 1
         for segment in segments:
@@ -322,7 +341,7 @@ class Machine:
                 maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
             for head, blank, n, end in maps:
                 at, first = self.run(self.rest, head)
-                total += first + self.close(at) + (n + self.close(end) if blank else 0)
+                total += first + self.close(at) + (n + self.close(self._entered(end)) if blank else 0)
         return total
 
 

@@ -60,3 +60,25 @@ def test_query_on_whole_table(spark, library):
         n = want(library, text)
         assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(text.encode()), n, n > 2048)
     assert token_counts.count(frame.limit(0), PATH).collect() == []
+
+
+def test_states_are_bounded_within_a_text(library, monkeypatch):
+    """All states are forgotten again and again in the midst of words, and the counts stay the library's."""
+    monkeypatch.setattr(token_counts, "STATES_KEPT", 300)
+    few, rng = token_counts.Machine(open(PATH, "rb").read()), random.Random(9)
+    for size in (50, 2000, 60_000):
+        for parts in ("etaoinshrdlucmbfgjkpqvwxyz", "ab'12!é", "etaoin   's"):
+            text = "".join(rng.choice(parts) for _ in range(size))
+            for chunk in (7, 1000, token_counts.CHUNK):
+                assert few.count(text, chunk=chunk) == want(library, text), (parts, size, chunk)
+                # Only what the words of one chunk make comes on top.
+                assert len(few.states) + len(few.merge_states) <= 300 + 4 * chunk + 64
+
+
+def test_states_of_a_very_long_word(library):
+    """Letters by chance make a new state almost each time; the default bound holds within the text."""
+    rng = random.Random(10)
+    machine = token_counts.Machine(open(PATH, "rb").read())
+    text = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=400_000))
+    assert machine.count(text) == want(library, text)
+    assert len(machine.states) + len(machine.merge_states) <= token_counts.STATES_KEPT + 64
