@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small
+from .common import cut, small, unused
 
 WORDS = 5
 LEAST = 0.8
@@ -89,6 +89,7 @@ def _matches(docs: DataFrame, items: DataFrame, least: float = LEAST, id_col: st
 
 
 def clean(docs: DataFrame, items: DataFrame, least: float = LEAST) -> DataFrame:
-    """``docs`` without the documents that hold a test item; all columns and all other rows stay, those under the same or no id too."""
-    hit = cut(_matches(docs, items, least).select(F.col("doc_id").alias("_hit"), F.col("h").alias("_hit_text")).distinct())
-    return docs.join(small(hit, 16), docs["doc_id"].eqNullSafe(F.col("_hit")) & (text_hash(docs["text"]) == F.col("_hit_text")), "left_anti")
+    """``docs`` without the documents that hold a test item; all columns, whatever their names, and all other rows stay, those under the same or no id too."""
+    id_, text = unused(docs, "_hit", "_hit_text")
+    hit = cut(_matches(docs, items, least).select(F.col("doc_id").alias(id_), F.col("h").alias(text)).distinct())
+    return docs.join(small(hit, 16), docs["doc_id"].eqNullSafe(F.col(id_)) & (text_hash(docs["text"]) == F.col(text)), "left_anti")

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix64, prepare, shuffle_parts, slices, small
+from .common import cut, mix64, prepare, quoted, shuffle_parts, slices, small, unused
 from .components import components
 
 BANDS, ROWS = 32, 4
@@ -285,7 +285,7 @@ def _named(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id", text_c
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one document of each group, the one with the least id, and of those that share it the one with the least hash of
-    the text; of rows that repeat an id and text, one. All columns stay.
+    the text; of rows that repeat an id and text, one. All columns stay, whatever their names.
 
     Rows are told apart by id and text: a row goes only if another one of its own group stays, so rows without an id, or with different texts
     under one id, stay unless they are near copies. Rows without an id and without words are linked with nothing and all stay.
@@ -293,8 +293,10 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> DataFrame:
     rows = _named(docs, k, percent).where(~((F.col("rid") == LAST) & (F.col("n") == 0)))
     stays = (F.col("rid") == F.col("first.rid")) & (F.col("h") == F.col("first.h"))
     found = cut(rows.groupBy("rid", "h").agg(F.count("*").alias("copies"), F.max(stays).alias("kept")).where("copies > 1 or not kept"))
-    mark = found.select(F.col("rid").alias("_rid"), F.col("h").alias("_h"), F.col("kept").alias("_kept"))
-    marked = docs.join(small(mark, 24), (_row_id(docs["doc_id"]) == F.col("_rid")) & (_text_hash(docs["text"]) == F.col("_h")), "left")
-    once = marked.where("_kept is null").select(*docs.columns)
-    again = marked.where("_kept").dropDuplicates(["_rid", "_h"]).select(*docs.columns)
-    return once.unionByName(again)
+    rid, h, kept = unused(docs, "_rid", "_h", "_kept")
+    mark = found.select(F.col("rid").alias(rid), F.col("h").alias(h), F.col("kept").alias(kept))
+    marked = docs.join(small(mark, 24), (_row_id(docs["doc_id"]) == F.col(rid)) & (_text_hash(docs["text"]) == F.col(h)), "left")
+    columns = [F.col(quoted(c)) for c in docs.columns]
+    once = marked.where(F.col(kept).isNull()).select(*columns)
+    again = marked.where(F.col(kept)).dropDuplicates([rid, h]).select(*columns)
+    return once.union(again)

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import quoted, unused
+
 FENCE, OTHER = "\x01", "\x02"
 BLOCK = 64
 BASE_KINDS = ["email", "ip", "card", "phone"]
@@ -134,16 +136,16 @@ def find(docs: DataFrame, text_col: str = "text", into: str = "pii_spans") -> Da
 
     Every text is read whole; a null or empty text has no spans. Spans of different kinds may overlap,
     those of one kind do not. Spans of the base kinds are kept whatever their score; the other kinds need a
-    score of LEAST_SCORE. All rows, repeated ones too, and all columns are kept; working columns have names of their own
-    (``_pii_*``).
+    score of LEAST_SCORE. All rows, repeated ones too, and all columns are kept, but for one named as ``into``, which is replaced;
+    working columns get names that no column has.
     """
-    out = docs.withColumn("_pii_text", F.coalesce(F.col(text_col), F.lit("")))
-    for kind in KINDS:
-        out = out.withColumn(f"_pii_{kind}", _parts(kind, F.col("_pii_text")))
-    for kind in KINDS:
-        out = out.withColumn(f"_pii_{kind}", spans(F.col("_pii_text"), kind, F.col(f"_pii_{kind}")))
-    found = F.array_sort(F.concat(*[F.col(f"_pii_{kind}") for kind in KINDS]))
-    return out.withColumn(into, found).drop("_pii_text", *[f"_pii_{kind}" for kind in KINDS])
+    whole, *own = unused(docs, "_pii_text", *[f"_pii_{kind}" for kind in KINDS])
+    out = docs.withColumn(whole, F.coalesce(F.col(quoted(text_col)), F.lit("")))
+    for kind, name in zip(KINDS, own):
+        out = out.withColumn(name, _parts(kind, F.col(whole)))
+    for kind, name in zip(KINDS, own):
+        out = out.withColumn(name, spans(F.col(whole), kind, F.col(name)))
+    return out.withColumn(into, F.array_sort(F.concat(*map(F.col, own)))).drop(whole, *own)
 
 
 def joined(found: Column) -> Column:
@@ -166,10 +168,11 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with each span, or run of overlapping spans, replaced by the first one's kind as ``<EMAIL>``.
 
-    Null texts stay null; texts without spans, and all other columns, stay as they are.
+    Null texts stay null; texts without spans, and all other columns, whatever their names, stay as they are.
     """
-    found = find(docs)
-    text = F.col(text_col)
+    listed, merged_runs = unused(docs, "_pii_spans", "_pii_runs")
+    found = find(docs, text_col, listed)
+    text, all_spans = F.col(quoted(text_col)), F.col(listed)
     shape = "array<struct<start:int,stop:int,kind:string>>"
 
     def merged(acc: Column, x: Column) -> Column:
@@ -179,13 +182,13 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
         grown = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(wider))
         return F.when(F.size(acc) == 0, one).when(x["start"] < last["stop"], grown).otherwise(F.concat(acc, one))
 
-    found = found.withColumn("_pii_runs", F.when(F.size("pii_spans") > 0, F.aggregate("pii_spans", F.array().cast(shape), merged)))
-    runs = F.col("_pii_runs")
+    found = found.withColumn(merged_runs, F.when(F.size(all_spans) > 0, F.aggregate(all_spans, F.array().cast(shape), merged)))
+    runs = F.col(merged_runs)
 
     def piece(x: Column, i: Column) -> Column:
         before = F.when(i > 0, F.element_at(runs, F.greatest(i, F.lit(1)))["stop"]).otherwise(0)
         return F.concat(F.substr(text, before + 1, x["start"] - before), F.lit("<"), F.upper(x["kind"]), F.lit(">"))
 
     tail = F.substr(text, F.element_at(runs, -1)["stop"] + 1, F.length(text))
-    cleaned = F.when(F.size("pii_spans") > 0, F.concat(F.array_join(F.transform(runs, piece), ""), tail)).otherwise(text)
-    return found.withColumn(text_col, cleaned).select(*docs.columns)
+    cleaned = F.when(F.size(all_spans) > 0, F.concat(F.array_join(F.transform(runs, piece), ""), tail)).otherwise(text)
+    return found.withColumn(text_col, cleaned).drop(listed, merged_runs)

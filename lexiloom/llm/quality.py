@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, prepare, small
+from .common import cut, prepare, small, unused
 
 #: Most labelled documents of each label that the fit reads; drawn by hash of the id.
 SAMPLE_PER_LABEL = 4000
@@ -204,6 +204,7 @@ def rate(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: s
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the documents whose predicted label is 0; all columns stay."""
-    scored = score(docs, fit(docs, labels), into="_quality_score")
-    return scored.where(F.col("_quality_score") >= THRESHOLD).select(*docs.columns)
+    """``docs`` without the documents whose predicted label is 0; all columns stay, whatever their names."""
+    (into,) = unused(docs, "_quality_score")
+    scored = score(docs, fit(docs, labels), into=into)
+    return scored.where(F.col(into) >= THRESHOLD).drop(into)
