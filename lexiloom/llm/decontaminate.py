@@ -21,6 +21,8 @@ WORDS = 5
 LEAST = 0.8
 #: Size partitions are [2^p, 2^(p+1)).
 PARTITIONS = 31
+#: About how many items are compared with one copy of a document's shingles.
+ITEMS_AT_ONCE = 256
 
 
 def words(text: Column) -> Column:
@@ -79,12 +81,15 @@ def _matches(docs: DataFrame, items: DataFrame, least: float = LEAST, id_col: st
     found = doc.join(small(wanted, 16), doc["doc"].eqNullSafe(F.col("cdoc")) & (F.col("h") == F.col("ch"))).dropDuplicates(["doc", "h"])
     # Words get a column of their own: inside the window expression they would be cut again for every window.
     found = found.withColumn("w", words(F.col("text"))).select("doc", "h", shingle_texts(F.col("w")).alias("own"))
-    of_pair = pairs.select(F.col("doc").alias("cdoc"), F.col("h").alias("ch"), "item", "ih")
-    found = found.join(of_pair, found["doc"].eqNullSafe(F.col("cdoc")) & (F.col("h") == F.col("ch"))).select("doc", "h", "own", "item", "ih")
-    of = small(item.select(F.col("item").alias("iitem"), F.col("ih").alias("iih"), "shingles"), F.octet_length(F.array_join("shingles", "|")) + 8 * F.size("shingles"))
-    shared = found.join(of, F.col("item").eqNullSafe(F.col("iitem")) & (F.col("ih") == F.col("iih"))).select(
-        "h", F.col("doc").alias(id_col), F.col("item").alias(item_col), F.size("shingles").cast("long").alias("n_shingles"), F.size(F.array_intersect("own", "shingles")).cast("long").alias("n_shared")
-    )
+    of = item.select(F.col("item").alias("iitem"), F.col("ih").alias("iih"), "shingles")
+    of = small(of, F.octet_length(F.array_join("shingles", "|")) + 8 * F.size("shingles"))
+    # Items ride in groups, dealt by hash, so a document's shingles are copied once for each group and not for each item.
+    groups = -(-item.count() // ITEMS_AT_ONCE) or 1
+    held = pairs.join(of, F.col("item").eqNullSafe(F.col("iitem")) & (F.col("ih") == F.col("iih")))
+    held = held.groupBy(F.col("doc").alias("cdoc"), F.col("h").alias("ch"), F.pmod("ih", F.lit(groups)).alias("group")).agg(F.collect_list(F.struct("item", "shingles")).alias("items"))
+    compared = F.transform("items", lambda i: F.struct(i["item"].alias("item"), F.size(i["shingles"]).cast("long").alias("n"), F.size(F.array_intersect("own", i["shingles"])).cast("long").alias("shared")))
+    found = found.join(held, found["doc"].eqNullSafe(F.col("cdoc")) & (F.col("h") == F.col("ch"))).select("h", "doc", F.explode(compared).alias("c"))
+    shared = found.select("h", F.col("doc").alias(id_col), F.col("c.item").alias(item_col), F.col("c.n").alias("n_shingles"), F.col("c.shared").alias("n_shared"))
     return shared.withColumn("containment", F.col("n_shared") / F.col("n_shingles")).where(F.col("n_shared") >= F.lit(least) * F.col("n_shingles"))
 
 
