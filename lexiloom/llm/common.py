@@ -16,6 +16,8 @@ SLICE_BYTES = 1 << 20
 
 #: Bytes up to which a side of a join is broadcast, after they were summed; beyond it the same join is shuffled.
 BROADCAST_BYTES = 32 << 20
+#: What a row of a broadcast relation takes beside its values: headers, pointers, its place in the hash map.
+ROW_BYTES = 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,8 +46,8 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def small(df: DataFrame, size: Column | int) -> DataFrame:
-    """``df`` marked for broadcast if its rows, of ``size`` bytes each, are within BROADCAST_BYTES together."""
-    total = df.agg(F.sum(F.lit(size) if isinstance(size, int) else size)).first()[0] or 0
+    """``df`` marked for broadcast if its rows, of ``size`` bytes of values and ROW_BYTES each, are within BROADCAST_BYTES together."""
+    total = df.agg(F.sum((F.lit(size) if isinstance(size, int) else size) + F.lit(ROW_BYTES))).first()[0] or 0
     return F.broadcast(df) if total <= BROADCAST_BYTES else df
 
 
