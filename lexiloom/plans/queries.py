@@ -178,12 +178,12 @@ def indent_forward_fill(spark, sf_dir):
 @query(f"WITH {token_sql(PAGES)}, {LEXICON_SQL}, {class_sql()} SELECT idx, token, n FROM dict WHERE cls = 'st'")
 def string_having_two(spark, sf_dir):
     source = read(spark, sf_dir, "pages").select(F.col("page_id").alias("file_ord"), F.col("html").alias("text"))
-    return dictionary.build(plain_classes(spark, tokens.tokens(source))).where("cls = 'st'").select("idx", "token", "n")
+    return dictionary.build(plain_classes(spark, tokens.tokens(source)).where("cls = 'st'")).select("idx", "token", "n")
 
 
 @query(f"WITH {token_sql(DOCS)}, {LEXICON_SQL}, {class_sql()} SELECT idx, token, n FROM dict WHERE cls = 'nu'")
 def number_dictionary(spark, sf_dir):
-    return dictionary.build(with_classes(spark, sf_dir)).where("cls = 'nu'").select("idx", "token", "n")
+    return dictionary.build(with_classes(spark, sf_dir).where("cls = 'nu'")).select("idx", "token", "n")
 
 
 @query(f"WITH {token_sql(DOCS)}, {LEXICON_SQL}, {class_sql()} SELECT cls, idx, token, n FROM dict WHERE cls IN ('kw', 'bi', 'op')")
@@ -224,8 +224,7 @@ FROM mk m JOIN per p ON p.file_ord = m.file_ord AND p.line_no = m.line_no GROUP
 def dict_encode(spark, sf_dir):
     """Each document's byte stream: its digest and how many tokens it has."""
     rows, _ = coded(spark, sf_dir)
-    counts = rows.groupBy("file_ord").agg(F.count("*").alias("n_tokens"))
-    return counts.join(codec.streams(rows).select("file_ord", F.md5("stream_hex").alias("stream_md5")), "file_ord")
+    return codec.streams(rows).select("file_ord", "n_tokens", F.md5("stream_hex").alias("stream_md5"))
 
 
 @query(f"WITH {token_sql(DOCS)} SELECT file_ord, count(*) AS n_tokens, md5(string_agg(tstr, ' ' ORDER BY line_no, tok_no)) AS tokens_md5 FROM tok GROUP BY file_ord")
@@ -236,6 +235,20 @@ def dict_decode(spark, sf_dir):
     return decoded.groupBy("file_ord").agg(F.count("*").alias("n_tokens"), F.md5(scalars.ordered_join(F.struct("line_no", "tok_no"), F.col("decoded"), " ")).alias("tokens_md5"))
 
 
+@query(f"""WITH {token_sql(BENCH)} SELECT file_ord, count(*) AS n_tokens, md5(string_agg(ttype || ' ' || tstr || ' ' || indent, chr(10) ORDER BY line_no, tok_no)) AS tokens_md5
+FROM tok GROUP BY file_ord""")
+def stream_decode(spark, sf_dir):
+    """Tokens parsed from the bytes of streams and of the dictionary block; the SQL has those of the text."""
+    source = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("file_ord"), "text")
+    classes = plain_classes(spark, tokens.tokens(source))
+    entries = dictionary.build(classes)
+    coded_rows = codec.streams(codec.encode_tokens(classes.drop("cls"), entries, small=False))
+    packed = coded_rows.select(F.lit("a").alias("archive_id"), "file_ord", F.unhex("stream_hex").alias("stream")).join(dictionary.serialize(entries).withColumnRenamed("block", "dictionary").withColumn("archive_id", F.lit("a")), "archive_id")
+    row = F.concat_ws(" ", "ttype", "tstr", F.col("indent").cast("string"))
+    rows = codec.decode_streams(packed).withColumn("row", row)
+    return rows.groupBy("file_ord").agg(F.count("*").alias("n_tokens"), F.md5(scalars.ordered_join(F.struct("line_no", "tok_no"), F.col("row"), "\n")).alias("tokens_md5"))
+
+
 @query(f"WITH {token_sql(CONVS)} SELECT DISTINCT tstr AS token, '72' || {HEX.format('strlen(tstr)', 4)} || hex(tstr) AS raw_hex FROM tok")
 def raw_token_bytes(spark, sf_dir):
     return tokens.tokens(conversations(spark, sf_dir)).select(F.col("tstr").alias("token")).distinct().withColumn("raw_hex", scalars.hex_raw_token(F.col("token")))
@@ -368,9 +381,16 @@ def svg_rewrite_regex(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", svg.rewrite_plain(F.col("html")).alias("s")).select("page_id", F.md5("s").alias("text_md5"), F.length("s").alias("n_chars"))
 
 
-@query("SELECT l_orderkey, l_linenumber, floor(l_extendedprice * 10 + 0.5) / 10 AS price FROM lineitem")
+#: Line items as SVG. Prices end in a quarter, so halves are exact and rounding them goes to the even side.
+@query("""WITH q AS (SELECT l_orderkey, l_linenumber, (floor(l_extendedprice)::BIGINT % 10000) * 4 + l_linenumber % 4 AS quarters FROM lineitem),
+t AS (SELECT *, quarters // 4 * 10 + CASE quarters % 4 WHEN 1 THEN 2 WHEN 2 THEN 5 WHEN 3 THEN 8 ELSE 0 END AS tenths FROM q)
+SELECT l_orderkey, l_linenumber, '<?xml version="1.0"?><path d="M' || (tenths // 10) || CASE WHEN tenths % 10 = 0 THEN '' ELSE '.' || (tenths % 10) END || ' 0"/>' AS svg FROM t""")
 def svg_round_numbers(spark, sf_dir):
-    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.floor(F.col("l_extendedprice") * 10 + 0.5) / 10).alias("price"))
+    """Numbers of SVG text at one decimal; the declaration's version stays."""
+    quarters = (F.col("l_extendedprice").cast("long") % 10000) * 4 + F.col("l_linenumber") % 4
+    number = F.format_string("%d.%02d", F.floor(quarters / 4), quarters % 4 * 25)
+    text = F.concat(F.lit('<?xml version="1.0"?><path d="M'), number, F.lit(' 0"/>'))
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", svg.rounded(text).alias("svg"))
 
 
 # ---- spaces between tokens ----
@@ -460,13 +480,16 @@ def labels(spark, sf_dir) -> DataFrame:
 @query("""SELECT event_type, min(event_id) AS start_id, count(*) AS length
 FROM (SELECT event_type, event_id, event_id - row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS isl FROM events) GROUP BY event_type, isl""")
 def event_runs(spark, sf_dir):
-    """Maximal stretches of events of one type. The window is cut into stretches of ids, which are joined where they touch."""
-    events = read(spark, sf_dir, "events").select("event_type", "event_id", F.floor(F.col("event_id") / ranks.BUCKET).alias("b"))
-    inside = Window.partitionBy("event_type", "b").orderBy("event_id")
-    part = events.withColumn("isl", F.col("event_id") - F.row_number().over(inside)).groupBy("event_type", "b", "isl").agg(F.min("event_id").alias("a"), F.max("event_id").alias("z"), F.count("*").alias("n"))
+    """Maximal stretches of events of one type: runs inside stretches of ids, of which those that touch a border are joined."""
+    events = read(spark, sf_dir, "events").select(F.col("event_type").alias("img"), F.lit(0).alias("ci"), F.floor(F.col("event_id") / ranks.BUCKET).alias("y"), F.col("event_id").alias("x"))
+    part = image.runs(events).select(F.col("img").alias("event_type"), "y", F.col("start_x").alias("a"), F.col("length").cast("long").alias("n"))
+    at_border = (F.col("a") == F.col("y") * ranks.BUCKET) | (F.col("a") + F.col("n") == (F.col("y") + 1) * ranks.BUCKET)
+    # At most two runs of a type in each stretch touch its borders; the window sees no others.
     order = Window.partitionBy("event_type").orderBy("a")
-    fresh = part.withColumn("new", (F.col("a") != F.lag("z", 1, -2).over(order) + 1).cast("int")).withColumn("run", F.sum("new").over(order))
-    return fresh.groupBy("event_type", "run").agg(F.min("a").alias("start_id"), F.sum("n").alias("length")).select("event_type", "start_id", "length")
+    border = part.where(at_border).withColumn("new", (F.col("a") != F.lag(F.col("a") + F.col("n"), 1, -1).over(order)).cast("int"))
+    joined = border.withColumn("run", F.sum("new").over(order)).groupBy("event_type", "run").agg(F.min("a").alias("start_id"), F.sum("n").alias("length"))
+    inner = part.where(~at_border).select("event_type", F.col("a").alias("start_id"), F.col("n").alias("length"))
+    return inner.unionByName(joined.select("event_type", "start_id", "length"))
 
 
 @query(f"WITH {LABELS_SQL} SELECT img, ci, y, start_x, length FROM rn")
@@ -550,7 +573,7 @@ def lzma_size(spark, sf_dir):
 
     @F.pandas_udf("struct<packed:long,whole:boolean>")
     def packed(text: pd.Series) -> pd.DataFrame:
-        out = [(lzma.compress(t.encode(), preset=1), t) for t in text]
+        out = [(lzma.compress(t.encode(), preset=9), t) for t in text]
         return pd.DataFrame({"packed": [len(p) for p, _ in out], "whole": [lzma.decompress(p).decode() == t for p, t in out]})
 
     docs = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
