@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import lexicon, scalars
+from ..functions import lexicon, scalars, xz
 from ..operators import codec, dictionary, image, ranks, report, respace, svg, tokens
 from ..sources import files
 
@@ -573,8 +573,11 @@ def lzma_size(spark, sf_dir):
 
     @F.pandas_udf("struct<packed:long,whole:boolean>")
     def packed(text: pd.Series) -> pd.DataFrame:
-        out = [(lzma.compress(t.encode(), preset=9), t) for t in text]
-        return pd.DataFrame({"packed": [len(p) for p, _ in out], "whole": [lzma.decompress(p).decode() == t for p, t in out]})
+        out = []
+        for raw in map(str.encode, text):
+            p = xz.compress(raw)
+            out.append((len(p), lzma.decompress(p) == raw))
+        return pd.DataFrame(out, columns=["packed", "whole"])
 
     docs = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     return docs.select("doc_id", F.octet_length("text").alias("n_bytes"), packed("text").alias("p")).select("doc_id", "n_bytes", "p.*")
