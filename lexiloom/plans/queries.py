@@ -230,9 +230,13 @@ def dict_encode(spark, sf_dir):
 @query(f"WITH {token_sql(DOCS)} SELECT file_ord, count(*) AS n_tokens, md5(string_agg(tstr, ' ' ORDER BY line_no, tok_no)) AS tokens_md5 FROM tok GROUP BY file_ord")
 def dict_decode(spark, sf_dir):
     """Tokens from tags and indices; the SQL has those of the text."""
-    rows, entries = coded(spark, sf_dir)
-    decoded = codec.decode_codes(rows, entries)
-    return decoded.groupBy("file_ord").agg(F.count("*").alias("n_tokens"), F.md5(scalars.ordered_join(F.struct("line_no", "tok_no"), F.col("decoded"), " ")).alias("tokens_md5"))
+    docs = documents(spark, sf_dir).withColumn("lang", lang_of(F.col("lang")))
+    ends = docs.agg(F.min("file_ord").alias("a"), F.max("file_ord").alias("b")).first()
+    packed = ends["a"] is None or (ends["a"] >= 0 and ends["b"] < 1 << 32)
+    counts = dictionary.count(tokens.occurrences(docs, "lang"), packed)
+    entries = dictionary.of_counts(counts, lexicon.lexicon(spark), packed)
+    toks = codec.encode_decode(docs.select("file_ord", "text"), codec.code_table(counts, entries), entries)
+    return toks.select("file_ord", F.size("toks").cast("long").alias("n_tokens"), F.md5(F.array_join("toks", " ")).alias("tokens_md5"))
 
 
 @query(f"""WITH {token_sql(BENCH)} SELECT file_ord, count(*) AS n_tokens, md5(string_agg(ttype || ' ' || tstr || ' ' || indent, chr(10) ORDER BY line_no, tok_no)) AS tokens_md5
